@@ -1,0 +1 @@
+"""Placeholder: the screening workload is batch only, so no streaming operator is built."""
