@@ -150,6 +150,7 @@ def fit(
     tol: float = TOLERANCE,
     max_iter: int = MAX_ITER,
     seed: int = 0,
+    chosen: dict | None = None,
 ) -> DataFrame:
     """Fit mixtures for all targets, portions, component counts and folds of training ``rows``.
 
@@ -158,7 +159,7 @@ def fit(
     full = covariance == "full"
     data = blocks(rows).persist()
     table = ModelTable(rows, "gmm")
-    grid = model_grid(row_counts(rows), components, folds)
+    grid = model_grid(row_counts(rows), components, folds, chosen)
     table.append([m for m in grid if m.n_rows <= m.param], lambda m: None)
     todo = [m for m in grid if m.n_rows > m.param]
     width = 1 if not todo else data.select("width").first()["width"]

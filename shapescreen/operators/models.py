@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +66,21 @@ def row_counts(rows: DataFrame) -> pd.DataFrame:
     )
 
 
-def model_grid(counts: pd.DataFrame, params: Iterable[int], folds: Iterable[int]) -> list[Model]:
-    """One model per data set, parameter and fold, with its number of training rows."""
-    folds = list(folds)
+def model_grid(
+    counts: pd.DataFrame, params: Iterable[int], folds: Iterable[int], chosen: dict | None = None
+) -> list[Model]:
+    """One model per data set, parameter and fold, with its number of training rows.
+
+    ``chosen`` maps (target, portion) to the only parameter wanted there.
+    """
+    params, folds = list(params), list(folds)
     out = []
     for (target, portion), part in counts.groupby(["target", "portion"]):
         target = target.item() if isinstance(target, np.generic) else target
+        if chosen is not None:
+            if (target, float(portion)) not in chosen:
+                continue
+            params = [chosen[target, float(portion)]]
         for fold in folds:
             n = int(part.loc[trains(part["fold"], fold), "n"].sum())
             out += [Model(target, float(portion), int(p), int(fold), n) for p in params]
@@ -335,7 +345,7 @@ def _scorer(shared, decode, row_scores, reduce):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoded: dict[tuple, object] = {}
         for batch in batches:
-            filled = batch.filter(pa.compute.greater(batch.column("rows").value_lengths(), 0))
+            filled = batch.filter(pc.greater(batch.column("rows").value_lengths(), 0))
             groups = pack(filled, ["target", "portion", "fold"], "mol_id", "rows")
             for key, index in by_key(filled, ["target", "portion", "fold"]):
                 group = groups[key]

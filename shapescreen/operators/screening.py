@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapescreen.functions.packed import Packed, pack
+from shapescreen.functions.packed import Packed, by_key, pack
 from shapescreen.functions.similarity import best_shape_match
 from shapescreen.operators.molecules import lowest_energy
 
@@ -40,10 +41,12 @@ def screen(
     template_conformers: str = "all",
     kernel: Kernel = best_shape_match,
     max_broadcast: int = MAX_BROADCAST_TEMPLATES,
+    keys: tuple[str, ...] = ("target",),
 ) -> DataFrame:
     """Use every active as a template for all molecules of its target, itself included.
 
     ``template_conformers`` is "all" or "lec" (lowest-energy conformer only).
+    ``keys`` name the columns that separate data sets, such as target and portion.
     """
     actives = molecules.filter(F.col("active"))
     if template_conformers == "lec":
@@ -52,10 +55,11 @@ def screen(
         raise ValueError("template_conformers is 'all' or 'lec'")
     features = F.col("conformers.features").alias("rows")
     return score_pairs(
-        actives.select("target", F.col("mol_id").alias("template_id"), features),
-        molecules.select("target", "mol_id", F.col("active").alias("truth"), features),
+        actives.select(*keys, F.col("mol_id").alias("template_id"), features),
+        molecules.select(*keys, "mol_id", F.col("active").alias("truth"), features),
         kernel,
         max_broadcast,
+        keys,
     )
 
 
@@ -64,16 +68,18 @@ def score_pairs(
     candidates: DataFrame,
     kernel: Kernel,
     max_broadcast: int = MAX_BROADCAST_TEMPLATES,
+    keys: tuple[str, ...] = ("target",),
 ) -> DataFrame:
-    """Apply a block kernel to all template and candidate molecules of equal target.
+    """Apply a block kernel to all template and candidate molecules of equal keys.
 
-    ``templates(target, template_id, rows)``, ``candidates(target, mol_id, truth,
+    ``templates(*keys, template_id, rows)``, ``candidates(*keys, mol_id, truth,
     rows)``; ``rows`` is ``array<array<double>>``.  The kernel receives two packed
     groups and returns a templates-by-candidates matrix.
     """
+    keys = list(keys)
     schema = T.StructType(
         [
-            candidates.schema["target"],
+            *[candidates.schema[k] for k in keys],
             templates.schema["template_id"],
             candidates.schema["mol_id"],
             T.StructField("score", T.DoubleType()),
@@ -83,14 +89,14 @@ def score_pairs(
     head = templates.limit(max_broadcast + 1).toArrow()
     if head.num_rows <= max_broadcast and head.nbytes <= MAX_BROADCAST_BYTES:
         shared = candidates.sparkSession.sparkContext.broadcast(
-            pack(head, ["target"], "template_id", "rows")
+            pack(head, keys, "template_id", "rows")
         )
-        return candidates.mapInArrow(_against_all(shared, kernel), schema)
-    return _chunked(templates, candidates).mapInArrow(_chunk_by_chunk(kernel), schema)
+        return candidates.mapInArrow(_against_all(shared, kernel, keys), schema)
+    return _chunked(templates, candidates, keys).mapInArrow(_chunk_by_chunk(kernel, keys), schema)
 
 
-def _emit(key, templates: Packed, candidates: Packed, truth: pa.Array, kernel: Kernel, types):
-    """Score matrix as Arrow batches of bounded size."""
+def _emit(labels: dict, templates: Packed, candidates: Packed, truth: pa.Array, kernel: Kernel):
+    """Score matrix as Arrow batches of bounded size; ``labels`` are one-value arrays of the keys."""
     per_batch = max(1, _ROWS_OUT // len(templates))
     for lo in range(0, len(candidates), per_batch):
         piece = candidates.piece(lo, min(lo + per_batch, len(candidates)))
@@ -98,88 +104,69 @@ def _emit(key, templates: Packed, candidates: Packed, truth: pa.Array, kernel: K
         n_t, n_c = scores.shape
         t = pa.array(np.repeat(np.arange(n_t), n_c))
         c = pa.array(np.tile(np.arange(n_c), n_t))
+        same = pa.array(np.zeros(n_t * n_c, dtype=np.int64))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([key], types["target"]).take(pa.array(np.zeros(n_t * n_c, dtype=np.int64))),
+                *[value.take(same) for value in labels.values()],
                 templates.ids.take(t),
                 piece.ids.take(c),
                 pa.array(scores.ravel()),
                 truth.slice(lo, n_c).take(c),
             ],
-            ["target", "template_id", "mol_id", "score", "truth"],
+            [*labels, "template_id", "mol_id", "score", "truth"],
         )
 
 
-def _against_all(shared, kernel: Kernel):
+def _against_all(shared, kernel: Kernel, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            filled = batch.filter(pa.compute.greater(batch.column("rows").value_lengths(), 0))
-            types = {"target": batch.schema.field("target").type}
-            groups = pack(filled, ["target"], "mol_id", "rows")
-            truths = pack_truth(filled)
-            for key, candidates in groups.items():
+            filled = batch.filter(pc.greater(batch.column("rows").value_lengths(), 0))
+            groups = pack(filled, keys, "mol_id", "rows")
+            for key, index in by_key(filled, keys):
                 templates = shared.value.get(key)
                 if templates is not None:
-                    yield from _emit(_plain(key), templates, candidates, truths[key], kernel, types)
+                    labels = {k: filled.column(k).slice(int(index[0]), 1) for k in keys}
+                    truth = filled.column("truth").take(pa.array(index))
+                    yield from _emit(labels, templates, groups[key], truth, kernel)
 
     return run
 
 
-def pack_truth(batch: pa.RecordBatch) -> dict:
-    from shapescreen.functions.packed import by_key
-
-    truth = batch.column("truth")
-    return {key: truth.take(pa.array(index)) for key, index in by_key(batch, ["target"])}
-
-
-def _plain(key: tuple):
-    value = key[0]
-    return value.item() if isinstance(value, np.generic) else value
-
-
-def _chunked(templates: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Rows (target, template chunk, candidate chunk) of bounded size, spread by salt."""
+def _chunked(templates: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, template chunk, candidate chunk) of bounded size, spread by salt."""
     n_t, n_c = templates.count(), candidates.count()
     t_chunks = max(1, -(-n_t // _TEMPLATES_PER_CHUNK))
     c_chunks = max(1, -(-n_c // _CANDIDATES_PER_CHUNK))
     chunk = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
     left = (
         templates.filter(F.size("rows") > 0)
-        .groupBy("target", chunk("template_id", t_chunks).alias("t_chunk"))
+        .groupBy(*keys, chunk("template_id", t_chunks).alias("t_chunk"))
         .agg(F.collect_list(F.struct("template_id", "rows")).alias("templates"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        .select("target", F.col("salt").cast("bigint").alias("salt"), "templates")
+        .select(*keys, F.col("salt").cast("bigint").alias("salt"), "templates")
     )
     right = (
         candidates.filter(F.size("rows") > 0)
-        .groupBy("target", chunk("mol_id", c_chunks).alias("c_chunk"))
+        .groupBy(*keys, chunk("mol_id", c_chunks).alias("c_chunk"))
         .agg(F.collect_list(F.struct("mol_id", "truth", "rows")).alias("candidates"))
         .withColumn("salt", F.pmod(F.col("c_chunk"), F.lit(_SALTS)))
-        .select("target", "salt", "candidates")
+        .select(*keys, "salt", "candidates")
     )
-    return right.join(left, ["target", "salt"]).select("target", "templates", "candidates")
+    return right.join(left, [*keys, "salt"]).select(*keys, "templates", "candidates")
 
 
-def _chunk_by_chunk(kernel: Kernel):
-    def packed(column: pa.ListArray, row: int, identifier: str):
-        structs = column.slice(row, 1).flatten()
-        table = pa.RecordBatch.from_struct_array(structs)
-        values = table.append_column("one", pa.array(np.zeros(table.num_rows, dtype=np.int8)))
-        return pack(values, ["one"], identifier, "rows")[(0,)], table
+def _chunk_by_chunk(kernel: Kernel, keys: list[str]):
+    def unpacked(column: pa.ListArray, row: int, identifier: str):
+        table = pa.RecordBatch.from_struct_array(column.slice(row, 1).flatten())
+        one = table.append_column("one", pa.array(np.zeros(table.num_rows, dtype=np.int8)))
+        return pack(one, ["one"], identifier, "rows")[(0,)], table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types = {"target": batch.schema.field("target").type}
             for row in range(batch.num_rows):
-                templates, _ = packed(batch.column("templates"), row, "template_id")
-                candidates, table = packed(batch.column("candidates"), row, "mol_id")
-                yield from _emit(
-                    batch.column("target")[row].as_py(),
-                    templates,
-                    candidates,
-                    table.column("truth"),
-                    kernel,
-                    types,
-                )
+                templates, _ = unpacked(batch.column("templates"), row, "template_id")
+                candidates, table = unpacked(batch.column("candidates"), row, "mol_id")
+                labels = {k: batch.column(k).slice(row, 1) for k in keys}
+                yield from _emit(labels, templates, candidates, table.column("truth"), kernel)
 
     return run

@@ -47,18 +47,24 @@ def _number(text: Column) -> Column:
 
 
 def read_descriptors(spark: SparkSession, home: str, dtype: str) -> DataFrame:
-    """All files of a descriptor type with ``reason`` set on those that cannot be used.
-
-    The feature count comes from the first conformer line; shorter lines are
-    filled with 0, a longer line, a bad number or a missing body rejects the file.
-    """
-    texts = _named(
+    """All files of a descriptor type below ``home``, parsed."""
+    texts = (
         spark.read.option("wholetext", "true")
         .option("pathGlobFilter", f"*.{dtype}")
         .option("recursiveFileLookup", "true")
         .text(home)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
+    return parse_descriptors(texts, dtype)
+
+
+def parse_descriptors(files: DataFrame, dtype: str) -> DataFrame:
+    """Packed molecules from ``files(path, value)``; ``reason`` is set on unusable files.
+
+    The feature count comes from the first conformer line; shorter lines are
+    filled with 0, a longer line, a bad number or a missing body rejects the file.
+    """
+    texts = _named(files)
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
     n = F.col("width") - 3
     cell = lambda row, i: F.coalesce(F.get(row, i), F.lit(""))
