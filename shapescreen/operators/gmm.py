@@ -105,7 +105,7 @@ def _maximise(weight_sums, first, second):
 def _start(x: np.ndarray, k: int, full: bool, seed: int) -> dict:
     """Starting mixture: seeded distance-weighted centres, a few k-means steps, one maximisation."""
     rng = np.random.default_rng(seed)
-    centres = x[rng.integers(len(x))][None]
+    centres = x[rng.integers(len(x))][None].copy()
     nearest = ((x - centres[0]) ** 2).sum(1)
     while len(centres) < k:
         total = nearest.sum()

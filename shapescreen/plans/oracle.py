@@ -170,7 +170,7 @@ def _mol(value: str) -> str:
         LONG,
         MOL1,
         PAIR,
-        select=f"""SELECT target, template_id, mol_id, round(sign(z) * ln(1 + abs(z)), 6) AS score, truth
+        select=f"""SELECT target, template_id, mol_id, round(sign(z) * ln(1 + abs(z)), 6) + 0.0 AS score, truth
 FROM (SELECT *, {value} AS z FROM p)""",
     )
 

@@ -49,10 +49,9 @@ def _number(text: Column) -> Column:
 def read_descriptors(spark: SparkSession, home: str, dtype: str) -> DataFrame:
     """All files of a descriptor type below ``home``, parsed."""
     texts = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", f"*.{dtype}")
-        .option("recursiveFileLookup", "true")
-        .text(home)
+        spark.read.text(
+            home, wholetext=True, pathGlobFilter=f"*.{dtype}", recursiveFileLookup=True
+        )
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     return parse_descriptors(texts, dtype)
