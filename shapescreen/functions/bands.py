@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 # log1p of the largest double is 709.8, so this maps every finite score into [0, 2).
 _LOG_RANGE = 710.0
-# Number of bands over the whole double range; scores in [0, 1] fall into about 2,000 of them.
-BANDS = 1 << 22
+# Bands over the whole double range: scores in [0, 1] fall into about 8,000 of them,
+# each of which is cut into 1,024 fine bands.
+BANDS = 1 << 24
+FINE_BANDS = BANDS << 10
 
 MAX_DOUBLE = 1.7976931348623157e308
 
@@ -32,10 +34,10 @@ def clean_score(score: Column) -> Column:
     )
 
 
-def score_band(score: Column) -> Column:
+def score_band(score: Column, bands: int = BANDS) -> Column:
     """Band number of a finite score; never decreases as the score grows."""
     squashed = F.signum(score) * F.log1p(F.abs(score)) / F.lit(_LOG_RANGE)
-    band = F.floor((squashed + F.lit(1.0)) * F.lit(BANDS / 2.0)).cast("bigint")
+    band = F.floor((squashed + F.lit(1.0)) * F.lit(bands / 2.0)).cast("bigint")
     # Never NULL: otherwise a join adds a null filter to one side only and the
     # shuffle of the histogram is not shared between its two readers.
     return F.coalesce(band, F.lit(0).cast("bigint"))

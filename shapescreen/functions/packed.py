@@ -46,6 +46,14 @@ def matrix(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(widths), width), counts
 
 
+def nested(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """The reverse: an ``array<array<double>>`` column of per-molecule rows."""
+    inner = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    rows = pa.ListArray.from_arrays(pa.array(inner), pa.array(values.ravel()))
+    outer = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(outer), rows)
+
+
 def by_key(table, keys: list[str]):
     """Split an Arrow batch or table by its key columns: (key tuple, row indices) pairs."""
     frame = table.select(keys).to_pandas()

@@ -6,10 +6,10 @@ figures; ``target, template_id`` for one query template; a model key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapescreen.functions.bands import clean_score, score_band, shuffle_key
+from shapescreen.functions.bands import FINE_BANDS, clean_score, score_band, shuffle_key
 from shapescreen.operators.ranking import (
     average_ranks,
     from_above,
@@ -27,41 +27,39 @@ _TIE_SEED = 0
 def _auc_of_histogram(hist: DataFrame, group: list[str], name: str) -> DataFrame:
     """Count ordered (negative, positive) pairs band by band, ties counting one half.
 
-    A band only needs its positives, negatives and inner pairs to be combined
-    with the bands below it, so no score has to meet its whole group.
+    A band needs only its positives, its negatives and its inner pairs to be
+    combined with the bands below it.  Pairs are counted within fine bands, over
+    the fine bands of a band, and over the bands of a group, so that no task sees
+    a whole group, however many scores it pools.
     """
-    negatives = F.col("n") - F.col("pos")
-    in_band = (
-        Window.partitionBy(*group, "band").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    over_bands = (
-        Window.partitionBy(*group).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bands = (
-        hist.withColumn("neg", negatives)
-        .withColumn("below", F.coalesce(F.sum("neg").over(in_band), F.lit(0)))
-        .groupBy(*group, "band")
-        .agg(
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-            F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0))).alias("pairs"),
+
+    def below(keys: list[str], order: str) -> Column:
+        window = Window.partitionBy(*keys).orderBy(order)
+        return F.coalesce(
+            F.sum("neg").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         )
-    )
-    totals = (
-        bands.withColumn("below", F.coalesce(F.sum("neg").over(over_bands), F.lit(0)))
-        .groupBy(*group)
-        .agg(
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-            F.sum(F.col("pairs") + F.col("pos").cast("double") * F.col("below")).alias("pairs"),
+
+    def combined(parts: DataFrame, keys: list[str]) -> DataFrame:
+        crossing = F.col("pairs") + F.col("pos").cast("double") * F.col("below")
+        return parts.groupBy(*keys).agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(crossing).alias("pairs")
         )
-    )
-    return totals.select(
+
+    scores = hist.select(
         *group,
-        F.try_divide(
-            F.col("pairs"), F.col("pos").cast("double") * F.col("neg").cast("double")
-        ).alias(name),
+        "band",
+        score_band(F.col("score"), FINE_BANDS).alias("fine"),
+        "score",
+        "pos",
+        (F.col("n") - F.col("pos")).alias("neg"),
+    ).withColumn("pairs", F.col("pos") * F.col("neg") / F.lit(2.0))
+    fine = combined(
+        scores.withColumn("below", below([*group, "fine"], "score")), [*group, "band", "fine"]
     )
+    bands = combined(fine.withColumn("below", below([*group, "band"], "fine")), [*group, "band"])
+    totals = combined(bands.withColumn("below", below(group, "band")), group)
+    all_pairs = F.col("pos").cast("double") * F.col("neg").cast("double")
+    return totals.select(*group, F.try_divide("pairs", all_pairs).alias(name))
 
 
 def counts(scores: DataFrame, group: list[str]) -> DataFrame:

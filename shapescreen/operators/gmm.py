@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapescreen.functions.packed import Packed, pack
+from shapescreen.functions.packed import matrix, nested
 from shapescreen.operators.models import (
     Model,
     ModelTable,
@@ -334,17 +334,21 @@ def molecule_mixtures(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x, k in zip(batch.column("x").to_pylist(), batch.column("k").to_pylist()):
-                mix = fit_molecule(np.asarray(x), k, full)
-                packed = [mix["w"][:, None], mix["mu"], mix["s"].reshape(len(mix["w"]), -1)]
-                rows.append(np.concatenate(packed, axis=1).tolist())
+            if not batch.num_rows:
+                continue
+            values, counts = matrix(batch.column("x"))
+            packed, sizes = [], []
+            for x, k in zip(np.split(values, np.cumsum(counts)[:-1]), batch.column("k").to_pylist()):
+                mix = fit_molecule(x, k, full)
+                sizes.append(len(mix["w"]))
+                parts = [mix["w"][:, None], mix["mu"], mix["s"].reshape(sizes[-1], -1)]
+                packed.append(np.concatenate(parts, axis=1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("target"),
                     batch.column("mol_id"),
                     batch.column("active"),
-                    pa.array(rows, pa.list_(pa.list_(pa.float64()))),
+                    nested(np.concatenate(packed), np.array(sizes)),
                 ],
                 ["target", "mol_id", "active", "rows"],
             )

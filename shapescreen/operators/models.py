@@ -118,11 +118,14 @@ _BLOCKS = T.StructType(
 def blocks(rows: DataFrame) -> DataFrame:
     """Training conformers as matrices: one row per data set and Arrow batch.
 
+    Training rows are usually a small part of a table and are passed over many
+    times, so they are spread evenly over the session's number of tasks once.
     ``key`` is a hash of each conformer's identity, a random number that does not
     depend on where the row lies.
     """
     schema = T.StructType([rows.schema["target"], *_BLOCKS.fields])
-    flat = rows.select(
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = rows.repartition(tasks, "target", "portion", "mol_id").select(
         "target",
         F.col("portion").cast("double").alias("portion"),
         F.col("fold").cast("int").alias("fold"),

@@ -20,8 +20,8 @@ TEST_SHARE = 0.2
 TRAIN_SHARE = 0.8
 
 # Leading characters of a file name that split a sequential order into cells
-# ("active_mol_" and the first three digits).
-_NAME_CELL = 14
+# ("active_mol_" and the first five digits).
+_NAME_CELL = 16
 # Leading hex digits of a random key.
 _HASH_CELL = 4
 

@@ -86,11 +86,13 @@ def score_pairs(
             candidates.schema["truth"],
         ]
     )
-    head = templates.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast and head.nbytes <= MAX_BROADCAST_BYTES:
-        shared = candidates.sparkSession.sparkContext.broadcast(
-            pack(head, keys, "template_id", "rows")
-        )
+    values = F.aggregate("rows", F.lit(0), lambda n, row: n + F.size(row))
+    measured = templates.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(values), F.lit(0)).alias("values")
+    ).first()
+    if measured["n"] <= max_broadcast and 8 * measured["values"] <= MAX_BROADCAST_BYTES:
+        few = pack(templates.toArrow(), keys, "template_id", "rows")
+        shared = candidates.sparkSession.sparkContext.broadcast(few)
         return candidates.mapInArrow(_against_all(shared, kernel, keys), schema)
     return _chunked(templates, candidates, keys).mapInArrow(_chunk_by_chunk(kernel, keys), schema)
 
@@ -133,7 +135,11 @@ def _against_all(shared, kernel: Kernel, keys: list[str]):
 
 
 def _chunked(templates: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, template chunk, candidate chunk) of bounded size, spread by salt."""
+    """Rows (keys, template chunk, candidate chunk) of bounded size, spread by salt.
+
+    A salt that is still too heavy is split further by adaptive execution, since
+    the join has nothing above it that needs its partitioning.
+    """
     n_t, n_c = templates.count(), candidates.count()
     t_chunks = max(1, -(-n_t // _TEMPLATES_PER_CHUNK))
     c_chunks = max(1, -(-n_c // _CANDIDATES_PER_CHUNK))
