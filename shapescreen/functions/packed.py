@@ -34,6 +34,15 @@ class Packed:
             lo = hi
 
 
+def over_blocks(templates: Packed, candidates: Packed, rows: tuple[int, int], block) -> np.ndarray:
+    """Molecule-by-molecule matrix, computed for pieces of at most about ``rows`` rows a side."""
+    columns = [
+        np.concatenate([block(t, c) for t in templates.pieces(rows[0])], axis=0)
+        for c in candidates.pieces(rows[1])
+    ]
+    return np.concatenate(columns, axis=1)
+
+
 def matrix(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Matrix and per-molecule row counts of an ``array<array<double>>`` column."""
     counts = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
