@@ -154,7 +154,8 @@ def fit(
 ) -> DataFrame:
     """Fit mixtures for all targets, portions, component counts and folds of training ``rows``.
 
-    A model with no more rows than components is listed as skipped.
+    A model with no more rows than components is listed as skipped, one whose
+    covariance breaks down as failed.
     """
     full = covariance == "full"
     data = blocks(rows).persist()
@@ -166,13 +167,13 @@ def fit(
     per_component = 8 * (2 * width * width if full else 2 * width) + 8 * (width + 1)
     for wave in waves(todo, lambda m: m.param * per_component):
         _initialise(rows, wave, full, seed)
-        live = wave
+        live = [m for m in wave if not m.failed]
         for iteration in range(1, max_iter + 1):
-            sums = accumulate(data, live, _expectation)
-            live = [m for m, s in zip(live, sums) if not _update(m, s, full, tol, iteration)]
             if not live:
                 break
-        table.append(wave, lambda m: _encode(m.state))
+            sums = accumulate(data, live, _expectation)
+            live = [m for m, s in zip(live, sums) if not _update(m, s, full, tol, iteration)]
+        table.append(wave, lambda m: None if m.failed else _encode(m.state))
     data.unpersist()
     return table.read()
 
@@ -206,13 +207,18 @@ def _initialise(rows: DataFrame, models: list[Model], full: bool, seed: int) ->
         out = []
         for i, k, held_out in wanted.get((key[0], key[1]), ()):
             own = x[trains(fold, held_out)]
-            mix = _start(own, k, full, seed + 1)
+            try:
+                mix = _start(own, k, full, seed + 1)
+            except np.linalg.LinAlgError:
+                continue
             out.append((i, _encode(mix), mix["shift"].tobytes()))
         return pd.DataFrame(out, columns=["model", "mix", "shift"])
 
     started = sample.groupBy("target", "portion").applyInPandas(
         run, "model int, mix binary, shift binary"
     )
+    for model in models:
+        model.fail()
     for row in started.collect():
         models[row["model"]].state = decode(row["mix"]) | {
             "shift": np.frombuffer(row["shift"]),
@@ -238,7 +244,7 @@ def _expectation(state: dict, x: np.ndarray, y: np.ndarray, key: np.ndarray) ->
 
 
 def _update(model: Model, sums: np.ndarray, full: bool, tol: float, iteration: int) -> bool:
-    """Maximisation step; true when the mean log likelihood gains less than ``tol``."""
+    """Maximisation step; true when the mean log likelihood gains less than ``tol`` or it failed."""
     k, d = model.state["mu"].shape
     n, first, second = sums[:k], sums[k : k + k * d], sums[k + k * d : -2]
     likelihood = sums[-2] / sums[-1]
@@ -246,7 +252,12 @@ def _update(model: Model, sums: np.ndarray, full: bool, tol: float, iteration: i
         n, first.reshape(k, d), second.reshape((k, d, d) if full else (k, d))
     )
     shift, before = model.state["shift"], model.state["objective"]
-    model.state = _finish(w, mu + shift, s) | {
+    try:
+        mix = _finish(w, mu + shift, s)
+    except np.linalg.LinAlgError:
+        model.fail()
+        return True
+    model.state = mix | {
         "shift": shift,
         "objective": likelihood,
         "n_iter": iteration,

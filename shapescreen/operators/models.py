@@ -47,6 +47,14 @@ class Model:
     def nbytes(self) -> int:
         return sum(np.asarray(v).nbytes for v in self.state.values())
 
+    def fail(self) -> None:
+        """Training broke down numerically: keep the row, drop the parameters."""
+        self.state = {"status": "failed"}
+
+    @property
+    def failed(self) -> bool:
+        return self.state.get("status") == "failed"
+
 
 def trains(fold, held_out: int):
     """Rows, by their fold, that a model with this held-out fold learns from."""
@@ -267,7 +275,7 @@ class ModelTable:
                     m.param,
                     m.fold,
                     m.n_rows,
-                    "skipped" if blob is None else "ok",
+                    m.state.get("status", "skipped") if blob is None else "ok",
                     int(m.state.get("n_iter", 0)),
                     float(m.state.get("objective", float("nan"))),
                     blob,

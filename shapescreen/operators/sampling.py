@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapescreen.functions.bands import shuffle_key
-from shapescreen.operators.molecules import label_counts
+from shapescreen.operators.molecules import conformers, label_counts
 from shapescreen.operators.ranking import numbered
 
 # The learning curve and the hold-out shares.
@@ -114,6 +114,12 @@ def draw(
     )
 
 
+def with_descriptors(sample: DataFrame, molecules: DataFrame, return_type: str = "SEPARATE") -> DataFrame:
+    """Descriptors of sampled molecules: packed molecules, or with "LUMPED" one row per conformer."""
+    rows = sample.join(molecules.drop("active"), ["target", "mol_id"])
+    return conformers(rows) if return_type == "LUMPED" else rows
+
+
 def take_portion(
     records: DataFrame,
     amount: float,

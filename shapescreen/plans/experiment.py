@@ -63,6 +63,27 @@ def screening_report(molecules: DataFrame, template_conformers: str = "all") ->
     return evaluate(scores, ["target"], "template_id")
 
 
+def screening_results(
+    molecules: DataFrame, portions=(1.0,), template_conformers: str = "lec", seed: int = 0
+) -> DataFrame:
+    """Screening figures per target, descriptor type and portion, all types in one run.
+
+    ``elapsed_s`` is the wall time of the run.
+    """
+    began = time.time()
+    if tuple(portions) == (1.0,):
+        scores = screen(
+            molecules.withColumn("portion", F.lit(1.0)),
+            template_conformers,
+            keys=("target", "dtype", "portion"),
+        )
+    else:
+        scores = screening_portions(molecules, portions, template_conformers, seed=seed)
+    group = ["target", "dtype", "portion"]
+    figures = stage(evaluate(stage(scores, "scores"), group, "template_id"), "screening")
+    return figures.withColumn("elapsed_s", F.lit(time.time() - began))
+
+
 def screening_portions(
     molecules: DataFrame,
     portions=sampling.PORTIONS[1:],
@@ -70,12 +91,15 @@ def screening_portions(
     policy: str = "SEQUENTIAL",
     seed: int = 0,
 ) -> DataFrame:
-    """Scores of samples of each target at several portions, at its label ratio."""
-    keys = molecules.select("target", "mol_id", "active")
+    """Scores of samples of each target at several portions, at its label ratio.
+
+    The same molecules are taken for every descriptor type.
+    """
+    keys = molecules.select("target", "mol_id", "active").distinct()
     drawn = sampling.draw(keys, portions, 1.0, -1, policy, seed)
     sampled = drawn.drop("active").join(molecules, ["target", "mol_id"])
     return screen(
-        stage(sampled, "portions"), template_conformers, keys=("target", "portion")
+        stage(sampled, "portions"), template_conformers, keys=("target", "dtype", "portion")
     )
 
 

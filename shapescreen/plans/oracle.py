@@ -24,11 +24,11 @@ RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY mol_id ORDER BY energy
 BASE = (_v(), T, LIB, KEYS)
 
 
-def _scores(template_filter: str = "") -> str:
-    return f"""s AS (
+def _scores(template_filter: str = "", width: int = 18, name: str = "s") -> str:
+    return f"""{name} AS (
   SELECT a.label AS target, a.mol_id AS template_id, b.mol_id,
          round(max(1.0::DOUBLE / (1.0::DOUBLE + list_sum(list_transform(
-           list_zip(a.features, b.features), lambda p: abs(p[1] - p[2]))) / 18.0::DOUBLE)), 9) AS score,
+           list_zip(a.features[1:{width}], b.features[1:{width}]), lambda p: abs(p[1] - p[2]))) / {width}.0::DOUBLE)), 9) AS score,
          b.label = a.label AS truth
   FROM r a, r b {template_filter} GROUP BY ALL)"""
 
@@ -270,6 +270,22 @@ FROM k JOIN c USING (mol_id) WHERE nc = 1""",
 FROM s JOIN d a ON a.target = s.target AND a.mol_id = s.template_id AND a.active
 JOIN d b ON b.target = s.target AND b.mol_id = s.mol_id AND b.portion = a.portion""",
         ),
+        "screen_fraction_report": _with(
+            *BASE, TOTALS, RANKED, _scores("WHERE a.conf_rank = 1"),
+            *_draw("d", PORTIONS[1:], 1.0, -1, "SEQUENTIAL", 0),
+            """fs AS (SELECT s.target, a.portion, s.template_id, s.mol_id, s.score, s.truth
+  FROM s JOIN d a ON a.target = s.target AND a.mol_id = s.template_id AND a.active
+  JOIN d b ON b.target = s.target AND b.mol_id = s.mol_id AND b.portion = a.portion)""",
+            *_report("fs", "target, portion", "target, portion, template_id"),
+            select="SELECT target, portion, round(auc, 6) AS auc, round(auc_rank, 6) AS auc_rank FROM rep",
+        ),
+        "screening_descriptors": _with(
+            _v(), RANKED,
+            *[_scores("WHERE a.conf_rank = 1", w, f"s{w}") for w in (12, 15, 18)],
+            "s AS (SELECT 'usr' AS dtype, * FROM s12 UNION ALL SELECT 'esh', * FROM s15 UNION ALL SELECT 'es5', * FROM s18)",
+            *_report("s", "target, dtype", "target, dtype, template_id"),
+            select="SELECT target, dtype, " + ", ".join(rounded.format(c) for c in ("auc", "auc_rank", "ef_1", "ef_5")) + " FROM rep",
+        ),
         "screen_topk": _with(
             *SCREEN,
             select="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, template_id ORDER BY score DESC, mol_id) AS position FROM s)
@@ -322,6 +338,10 @@ UNION ALL SELECT DISTINCT target, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE FROM w"
         "sample_random": _with(
             *BASE, TOTALS, *_draw("d", (0.3, 0.8, 10.0), 1.0, -1, "RANDOM", 7), select="SELECT * FROM d"
         ),
+        "sample_lumped": _with(
+            *BASE, TOTALS, RANKED, *_draw("d", (0.3,), 1.0, -1, "RANDOM", 7),
+            select="SELECT d.*, conf_id, CAST(conf_rank AS INTEGER) AS conf_rank, energy FROM d JOIN r USING (mol_id)",
+        ),
         "sample_actives": _with(
             *BASE, TOTALS, *_draw("d", (0.5,), 1.0, 0, "RANDOM", 7), select="SELECT * FROM d"
         ),

@@ -160,7 +160,21 @@ def screen_lec(spark, sf):
 
 
 def screen_fraction(spark, sf):
-    return _rounded(experiment.screening_portions(embeddings.molecules(spark, sf)), 9, "score")
+    scores = experiment.screening_portions(embeddings.molecules(spark, sf))
+    return _rounded(scores.drop("dtype"), 9, "score")
+
+
+def screen_fraction_report(spark, sf):
+    figures = experiment.screening_results(embeddings.molecules(spark, sf), sampling.PORTIONS[1:])
+    return _rounded(figures.select("target", "portion", "auc", "auc_rank"), 6, "auc", "auc_rank")
+
+
+def screening_descriptors(spark, sf):
+    """All three descriptor types in one run, lowest-energy templates."""
+    every = mols.union_frames(*[embeddings.molecules(spark, sf, d) for d in descriptors.DESCRIPTOR_TYPES])
+    figures = experiment.screening_results(every)
+    columns = ("auc", "auc_rank", "ef_1", "ef_5")
+    return _rounded(figures.select("target", "dtype", *columns), 6, *columns)
 
 
 def screen_topk(spark, sf):
@@ -255,6 +269,13 @@ def sample_random(spark, sf):
     return sampling.draw(_keys(spark, sf), (0.3, 0.8, 10.0), 1.0, -1, "RANDOM", 7)
 
 
+def sample_lumped(spark, sf):
+    molecules = embeddings.molecules(spark, sf)
+    sample = sampling.draw(molecules, (0.3,), 1.0, -1, "RANDOM", 7)
+    rows = sampling.with_descriptors(sample, molecules, "LUMPED")
+    return rows.select("target", "portion", "mol_id", "active", "conf_id", "conf_rank", "energy")
+
+
 def sample_actives(spark, sf):
     return sampling.draw(_keys(spark, sf), (0.5,), 1.0, 0, "RANDOM", 7)
 
@@ -502,10 +523,11 @@ def refit_model(spark, sf):
 _QUERIES = (
     conformer_rank, lec_conformers, feature_projection, target_label_counts, numbering_gaps,
     resume_targets, descriptor_scan, rejected_files,
-    screen_all, screen_lec, screen_fraction, screen_topk, screening_report,
+    screen_all, screen_lec, screen_fraction, screen_fraction_report, screen_topk, screening_report,
+    screening_descriptors,
     auc_sim, auc_rank, average_rank, roc_points, enrichment, mean_ef, mean_ef_dist,
     auc_lineitem, ef_events, report_documents,
-    sample_sequential, sample_random, sample_actives, take_portion, holdout, portion_sweep,
+    sample_sequential, sample_random, sample_lumped, sample_actives, take_portion, holdout, portion_sweep,
     kfold, kfold_sequential, fold_train_counts,
     gmm1_diag_score, gmm1_lec_score, gmm1_full_score, gmm_fit, gmm_score,
     iforest_fit, iforest_score, ocsvm_score, mlp_score, mlp_activity_score, mlp_lec_score,
