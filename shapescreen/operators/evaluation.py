@@ -22,6 +22,8 @@ from shapescreen.sources.store import stage
 # The fractions at which enrichment is reported.
 THRESHOLDS = (0.01, 0.05)
 _TIE_SEED = 0
+# Cut rows (list and threshold) that are sent to all tasks; beyond it they are joined by key.
+_MAX_BROADCAST_CUTS = 100_000
 
 
 def _auc_of_histogram(hist: DataFrame, group: list[str], name: str) -> DataFrame:
@@ -166,9 +168,11 @@ def _enrichment(counted, scores, group, thresholds, eval_method, identifier) ->
         "cuts",
     )
     mixed = cuts.filter(F.col("tied_hits").isNull())
-    if not mixed.isEmpty():
+    n_mixed = mixed.count()
+    if n_mixed:
+        few = n_mixed <= _MAX_BROADCAST_CUTS
         cuts = cuts.filter(F.col("tied_hits").isNotNull()).unionByName(
-            _mixed_tie_hits(scores, mixed.drop("tied_hits"), group, identifier)
+            _mixed_tie_hits(scores, mixed.drop("tied_hits"), group, identifier, few)
         )
     hits = F.col("pos_before") + F.col("tied_hits")
     expected = F.col("pos_total").cast("double") / F.col("n_total") * F.col("top_n")
@@ -183,22 +187,29 @@ def _enrichment(counted, scores, group, thresholds, eval_method, identifier) ->
 
 
 def _mixed_tie_hits(
-    scores: DataFrame, cuts: DataFrame, group: list[str], identifier: str
+    scores: DataFrame, cuts: DataFrame, group: list[str], identifier: str, few: bool
 ) -> DataFrame:
     """Positives among the first ``need`` rows of a tie, in seeded random order.
 
-    One tie may span a large part of the table, so the join key carries two hex
-    digits of the random key and the numbering works on four.
+    One tie may span a large part of the table.  A few cuts are sent to the
+    rows; more are joined on the cut and two hex digits of the random key.  The
+    numbering works on four digits.
     """
-    salts = F.array(*[F.lit(f"{i:02x}") for i in range(256)])
-    keyed = cuts.withColumn("salt", F.explode(salts))
     rows = scores.select(
         *group,
         clean_score(F.col("score")).alias("score"),
         F.col("truth").cast("bigint").alias("truth"),
         shuffle_key(F.col(identifier), _TIE_SEED).alias("key"),
-    ).withColumn("salt", F.substring("key", 1, 2))
-    tied = rows.join(keyed, [*group, "score", "salt"]).withColumn("cell", F.substring("key", 1, 4))
+    )
+    if few:
+        tied = rows.join(F.broadcast(cuts), [*group, "score"])
+    else:
+        salts = F.array(*[F.lit(f"{i:02x}") for i in range(256)])
+        salted = cuts.withColumn("salt", F.explode(salts)).hint("merge")
+        tied = rows.withColumn("salt", F.substring("key", 1, 2)).join(
+            salted, [*group, "score", "salt"]
+        )
+    tied = tied.withColumn("cell", F.substring("key", 1, 4))
     lists = [*group, "threshold"]
     first = numbered(tied, lists, "cell", ["key"]).filter(F.col("rn") <= F.col("need"))
     carried = [c for c in cuts.columns if c not in lists]

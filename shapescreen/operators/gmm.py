@@ -158,12 +158,13 @@ def fit(
     covariance breaks down as failed.
     """
     full = covariance == "full"
-    data = blocks(rows).persist()
+    counts = row_counts(rows)
+    data = blocks(rows, counts).persist()
     table = ModelTable(rows, "gmm")
-    grid = model_grid(row_counts(rows), components, folds, chosen)
+    grid = model_grid(counts, components, folds, chosen)
     table.append([m for m in grid if m.n_rows <= m.param], lambda m: None)
     todo = [m for m in grid if m.n_rows > m.param]
-    width = 1 if not todo else data.select("width").first()["width"]
+    width = int(counts["width"].max()) if todo else 0
     per_component = 8 * (2 * width * width if full else 2 * width) + 8 * (width + 1)
     for wave in waves(todo, lambda m: m.param * per_component):
         _initialise(rows, wave, full, seed)

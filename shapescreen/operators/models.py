@@ -30,6 +30,8 @@ WAVE_BYTES = 64 << 20
 # Partial sums the driver adds up itself; beyond it they are added in Spark.
 _DIRECT_BYTES = 64 << 20
 _FAN_IN = 64
+# Training data per task; a pass costs much more per byte than a scan.
+_TASK_BYTES = 1 << 20
 # Score reported for a regression target.
 ACTIVE_VALUE = 100.0
 
@@ -68,9 +70,12 @@ def training_rows(dataset: DataFrame, actives_only: bool = True, train_mode: str
 
 
 def row_counts(rows: DataFrame) -> pd.DataFrame:
-    """Conformers per (target, portion, fold): a few rows per target."""
+    """Conformers and feature width per (target, portion, fold): a few rows per target."""
+    width = F.size(F.get("conformers", F.lit(0))["features"])
     return (
-        rows.groupBy("target", "portion", "fold").agg(F.sum(F.size("conformers")).alias("n")).toPandas()
+        rows.groupBy("target", "portion", "fold")
+        .agg(F.sum(F.size("conformers")).alias("n"), F.max(width).alias("width"))
+        .toPandas()
     )
 
 
@@ -123,16 +128,19 @@ _BLOCKS = T.StructType(
 )
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, counts: pd.DataFrame) -> DataFrame:
     """Training conformers as matrices: one row per data set and Arrow batch.
 
     Training rows are usually a small part of a table and are passed over many
-    times, so they are spread evenly over the session's number of tasks once.
+    times, so they are once spread evenly over as many tasks as their size asks
+    for, at most the session's number of shuffle partitions.
     ``key`` is a hash of each conformer's identity, a random number that does not
     depend on where the row lies.
     """
     schema = T.StructType([rows.schema["target"], *_BLOCKS.fields])
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = 8 * int((counts["n"] * counts["width"]).sum())
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(max(1, -(-size // _TASK_BYTES)), most)
     flat = rows.repartition(tasks, "target", "portion", "mol_id").select(
         "target",
         F.col("portion").cast("double").alias("portion"),

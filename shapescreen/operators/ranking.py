@@ -59,7 +59,9 @@ def prefix_counts(hist: DataFrame, group: list[str]) -> DataFrame:
         _running(F.col("n"), in_band).alias("n_local"),
         _running(F.col("pos"), in_band).alias("pos_local"),
     )
-    return local.join(offsets, [*group, "band"]).select(
+    # Both sides are partitioned by group and band already.  A merge join keeps it so; sizes
+    # estimated from the source files say nothing about the number of scores.
+    return local.join(offsets.hint("merge"), [*group, "band"]).select(
         *group,
         "band",
         "score",
@@ -99,7 +101,7 @@ def numbered(
     in_cell = Window.partitionBy(*group, cell).orderBy(*order)
     return (
         rows.withColumn("_local", F.row_number().over(in_cell))
-        .join(offsets, [*group, cell])
+        .join(offsets.hint("merge"), [*group, cell])
         .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
         .drop("_local", "_offset")
     )

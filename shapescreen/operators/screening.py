@@ -158,7 +158,8 @@ def _chunked(templates: DataFrame, candidates: DataFrame, keys: list[str]) -> Da
         .withColumn("salt", F.pmod(F.col("c_chunk"), F.lit(_SALTS)))
         .select(*keys, "salt", "candidates")
     )
-    return right.join(left, [*keys, "salt"]).select(*keys, "templates", "candidates")
+    joined = right.join(left.hint("merge"), [*keys, "salt"])
+    return joined.select(*keys, "templates", "candidates")
 
 
 def _chunk_by_chunk(kernel: Kernel, keys: list[str]):

@@ -41,9 +41,8 @@ def _named(files: DataFrame) -> DataFrame:
 
 def _number(text: Column) -> Column:
     """Empty and missing-value cells are 0; text that is no number gives NULL."""
-    trimmed = F.trim(text)
-    value = F.when(trimmed.isin(*_MISSING), F.lit(0.0)).otherwise(trimmed.try_cast("double"))
-    return F.when(F.isnan(value), F.lit(0.0)).otherwise(value)
+    value = F.nanvl(text.try_cast("double"), F.lit(0.0))
+    return F.coalesce(value, F.when(F.trim(text).isin(*_MISSING), F.lit(0.0)))
 
 
 def read_descriptors(spark: SparkSession, home: str, dtype: str) -> DataFrame:
@@ -66,32 +65,36 @@ def parse_descriptors(files: DataFrame, dtype: str) -> DataFrame:
     texts = _named(files)
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
     n = F.col("width") - 3
-    cell = lambda row, i: F.coalesce(F.get(row, i), F.lit(""))
-    conformer = lambda row, i: F.struct(
-        _number(cell(row, n + 1)).alias("energy"),
-        i.cast("int").alias("conf_id"),
-        F.transform(F.sequence(F.lit(1), n), lambda j: _number(cell(row, j))).alias("features"),
+    # Short lines are filled up with empty cells.
+    filled = lambda line: F.concat(
+        F.split(line, ","),
+        F.array_repeat(F.lit(""), F.greatest(F.col("width") - F.size(F.split(line, ",")), F.lit(0))),
     )
+    conformer = lambda numbers, i: F.struct(
+        F.get(numbers, n).alias("energy"), i.cast("int").alias("conf_id"), F.slice(numbers, 1, n).alias("features")
+    )
+    body = F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))
     parsed = (
         texts.withColumn("lines", lines)
         .withColumn("n_rot", F.trim(F.get("lines", F.lit(0))).try_cast("int"))
+        .withColumn("body", body)
+        .withColumn("width", F.coalesce(F.size(F.split(F.get("body", F.lit(0)), ",")), F.lit(0)))
+        .withColumn("widest", F.array_max(F.transform("body", lambda s: F.size(F.split(s, ",")))))
         .withColumn(
-            "cells",
-            F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda s: F.split(s, ",")),
-        )
-        .withColumn("width", F.coalesce(F.size(F.get("cells", F.lit(0))), F.lit(0)))
-        .withColumn(
-            "packed",
-            F.when((F.col("n_rot").isNotNull()) & (n >= 1), F.transform("cells", conformer)),
+            "numbers",
+            F.when(
+                F.col("n_rot").isNotNull() & (n >= 1) & (F.col("widest") <= F.col("width")),
+                F.transform("body", lambda s: F.transform(F.slice(filled(s), 2, n + 1), _number)),
+            ),
         )
     )
-    bad_number = lambda c: c["energy"].isNull() | F.exists(c["features"], lambda v: v.isNull())
+    bad_number = lambda row: F.exists(row, lambda v: v.isNull())
     reason = (
         F.when(F.col("n_rot").isNull(), "bad first line")
-        .when(F.size("cells") == 0, "no conformers")
+        .when(F.size("body") == 0, "no conformers")
         .when(n < 1, "too few fields")
-        .when(F.exists("cells", lambda c: F.size(c) > F.col("width")), "ragged row")
-        .when(F.exists("packed", bad_number), "not a number")
+        .when(F.col("widest") > F.col("width"), "ragged row")
+        .when(F.exists("numbers", bad_number), "not a number")
     )
     return parsed.select(
         "target",
@@ -101,7 +104,7 @@ def parse_descriptors(files: DataFrame, dtype: str) -> DataFrame:
         "active",
         "n_rot",
         "path",
-        F.array_sort("packed").alias("conformers"),
+        F.array_sort(F.transform("numbers", conformer)).alias("conformers"),
         reason.alias("reason"),
     )
 

@@ -80,9 +80,11 @@ def test_low_scores_first_for_distances(spark):
     assert efs[0]["ef"] == 20.0
 
 
-def test_enrichment_inside_a_mixed_tie_takes_whole_rows(spark):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_enrichment_inside_a_mixed_tie_takes_whole_rows(spark, monkeypatch, limit):
     import hashlib
 
+    monkeypatch.setattr(evaluation, "_MAX_BROADCAST_CUTS", limit)
     rng = np.random.default_rng(2)
     score = np.concatenate([[5.0] * 7, [3.0] * 900, rng.random(93)])
     truth = rng.random(1000) < 0.2

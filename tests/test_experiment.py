@@ -94,3 +94,24 @@ def test_whole_experiment(spark, molecules, name, params, options):
     assert len(final) == 2 and all(0 <= r["auc"] <= 1 and r["elapsed_s"] > 0 for r in final)
     best = {r["target"]: r["best_param"] for r in result.best.collect()}
     assert {r["target"]: r["param"] for r in result.models.collect()} == best
+
+
+def test_screening_results_for_several_descriptor_types(spark):
+    from conftest import SMALL
+
+    from shapescreen.operators.molecules import union_frames
+    from shapescreen.sources import embeddings
+
+    both = union_frames(*[embeddings.molecules(spark, SMALL, d).filter("target < 2") for d in ("usr", "es5")])
+    whole = experiment.screening_results(both).collect()
+    assert {(r["target"], r["dtype"], r["portion"]) for r in whole} == {(t, d, 1.0) for t in (0, 1) for d in ("usr", "es5")}
+    parts = experiment.screening_results(both, (0.8, 0.5)).collect()
+    assert len(parts) == 8 and all(r["elapsed_s"] > 0 and 0 <= r["auc"] <= 1 for r in parts)
+
+
+def test_lumped_samples_hold_every_conformer(molecules):
+    sample = sampling.draw(molecules, (0.5,), 1.0, 1.0, "RANDOM", 1)
+    lumped = sampling.with_descriptors(sample, molecules, "LUMPED")
+    packed = sampling.with_descriptors(sample, molecules)
+    assert packed.count() == sample.count()
+    assert lumped.count() == packed.agg(F.sum(F.size("conformers"))).first()[0]

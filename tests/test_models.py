@@ -186,3 +186,19 @@ def test_models_are_stored_and_read_back(spark, dataset, tmp_path):
     save_models(fitted, str(tmp_path / "models"))
     again = load_models(spark, str(tmp_path / "models")).select(fitted.columns)
     assert score_map(gmm.score(dataset, again)) == score_map(gmm.score(dataset, fitted))
+
+
+def test_a_model_that_breaks_down_is_reported_and_left_out(dataset, monkeypatch):
+    finish, calls = gmm._finish, []
+
+    def fragile(w, mu, s):
+        calls.append(1)
+        if len(calls) == 3:
+            raise np.linalg.LinAlgError("not positive definite")
+        return finish(w, mu, s)
+
+    monkeypatch.setattr(gmm, "_finish", fragile)
+    fitted = gmm.fit(training_rows(dataset), (1,))
+    monkeypatch.undo()
+    assert sorted(r["status"] for r in fitted.collect()) == ["failed", "ok"]
+    assert gmm.score(dataset, fitted).select("target").distinct().count() == 1
