@@ -6,6 +6,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,7 +26,7 @@ def connect(folder):
 
 
 def _cell(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "null"
     if isinstance(value, float):
         return f"{value + 0.0:.9g}"
