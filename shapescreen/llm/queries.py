@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapescreen.llm import batches, exact_dedup, language_id, packing, sharding
+from shapescreen.llm import batches, bpe, exact_dedup, language_id, packing, sharding, topk
 from shapescreen.llm.oracle import oracle_sql
 from shapescreen.session import ship_package
 
@@ -43,6 +43,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_definition("byte_bpe_50k.json"), 2048, 0)
 
 
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), 5, 50)
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.byte_shards(table(spark, folder, "documents"), 24).select(
         "doc_id",
@@ -55,5 +59,9 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, folder, "documents"), tokenizer_definition("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
