@@ -50,6 +50,33 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+NGRAM_JOIN = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+), shingled AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) END AS s
+    FROM words
+), sized AS (
+    SELECT doc_id, len(s) AS n, s FROM shingled
+), entries AS (
+    SELECT doc_id, n, md5_number(unnest(s)) AS h FROM sized
+), linked AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM entries a JOIN entries b ON a.h = b.h AND a.doc_id <> b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM sized
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a
+)
+SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reached r WHERE r.a = sized.doc_id) AS component_id FROM sized
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP, "op6_topk": TOPK, "op8_sharding": SHARDING}
+    return {"op1_exact_dedup": EXACT_DEDUP, "op6_topk": TOPK, "op8_sharding": SHARDING, "op10_ngram_join": NGRAM_JOIN}

@@ -75,25 +75,29 @@ class Pieces:
                     break
 
     def hashes(self) -> np.ndarray:
-        """A hash of each piece's code points and length, never 0.
-
-        A polynomial in an odd factor: running sums over the whole slice give every piece's part,
-        which the inverse factor's power brings to the piece's own start.
-        """
-        powers, inverses = _powers(len(self.points) + 1)
-        chars = self.points.astype(np.uint64)
-        chars += np.uint64(1)
-        chars *= np.uint64(0xBF58476D1CE4E5B9)
-        chars ^= chars >> np.uint64(29)
-        chars *= powers[: len(chars)]
-        sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(chars, out=sums[1:])
-        found = (sums[self.ends] - sums[self.starts]) * inverses[self.starts]
-        found ^= found >> np.uint64(32)
-        found += (self.ends - self.starts).astype(np.uint64)
-        found *= np.uint64(0x94D049BB133111EB)
-        found[found == 0] = 1
-        return found
+        return span_hashes(self.points, self.starts, self.ends)
+
+
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the code points and the length of each span, never 0.
+
+    A polynomial in an odd factor: running sums over the whole slice give every span's part,
+    which the inverse factor's power brings to the span's own start.
+    """
+    powers, inverses = _powers(len(points) + 1)
+    chars = points.astype(np.uint64)
+    chars += np.uint64(1)
+    chars *= np.uint64(0xBF58476D1CE4E5B9)
+    chars ^= chars >> np.uint64(29)
+    chars *= powers[: len(chars)]
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(chars, out=sums[1:])
+    found = (sums[ends] - sums[starts]) * inverses[starts]
+    found ^= found >> np.uint64(32)
+    found += (ends - starts).astype(np.uint64)
+    found *= np.uint64(0x94D049BB133111EB)
+    found[found == 0] = 1
+    return found
 
 
 _factor_powers: list[tuple[np.ndarray, np.ndarray]] = []

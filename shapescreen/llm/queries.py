@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapescreen.llm import batches, bpe, exact_dedup, language_id, packing, sharding, topk
+from shapescreen.llm import batches, bpe, exact_dedup, language_id, ngram_join, packing, sharding, topk
 from shapescreen.llm.oracle import oracle_sql
 from shapescreen.session import ship_package
 
@@ -63,5 +63,9 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), tokenizer_definition("word_bpe_49k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
