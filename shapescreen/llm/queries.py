@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapescreen.llm import batches, bpe, exact_dedup, language_id, ngram_join, packing, sharding, topk
+from shapescreen.llm import batches, bpe, exact_dedup, language_id, ngram_join, packing, sharding, topk, toxicity
 from shapescreen.llm.oracle import oracle_sql
 from shapescreen.session import ship_package
 
@@ -47,6 +47,14 @@ def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"), 5, 50)
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = batches.remainder("doc_id", 5) == 0
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").filter(~held_out)
+    model = toxicity.train(labelled)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.byte_shards(table(spark, folder, "documents"), 24).select(
         "doc_id",
