@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapescreen.llm import batches, bpe, exact_dedup, language_id, ngram_join, packing, sharding, topk, toxicity
+from shapescreen.llm import batches, bpe, exact_dedup, language_id, ngram_join, packing, pii, secrets, sharding, topk, toxicity
 from shapescreen.llm.oracle import oracle_sql
 from shapescreen.session import ship_package
 
@@ -32,6 +32,11 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = batches.remainder("doc_id", 4) == 2
@@ -39,6 +44,11 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.scan(docs, pii.train(docs))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_definition("byte_bpe_50k.json"), 2048, 0)
 
