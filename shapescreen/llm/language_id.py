@@ -15,10 +15,11 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapescreen.llm.batches import code_points, map_texts, totals
+from shapescreen.llm.batches import bound_batches, code_points, map_texts, slices, totals
 
 #: Documents are parsed in blocks of so many characters; a phrase ends at a block's end.
 BLOCK = 512
@@ -192,3 +193,17 @@ def identify(docs: DataFrame, model: CrossParser, key: str = "doc_id", text: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda texts: shared.value.predict(texts), "lang_pred string, score double", key, text)
+
+
+def keep_known(docs: DataFrame, model: CrossParser, text: str = "text") -> DataFrame:
+    """The rows whose language the model can tell, with all their columns."""
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in slices(batches, text):
+            found = shared.value.predict(batch.column(at).to_pylist())["lang_pred"]
+            yield batch.filter(pa.array([language != "und" for language in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
