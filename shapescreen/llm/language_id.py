@@ -25,19 +25,21 @@ from shapescreen.llm.batches import bound_batches, code_points, map_texts, slice
 BLOCK = 512
 #: Sharpness of the score: characters that count as independent evidence.
 EVIDENCE = 16
-#: Flags a table entry that ends a phrase.
-PHRASE = 1 << 30
+#: Phrases that end at a table entry are counted in its bits from here on.
+PHRASE = 1 << 28
 SPACE, OTHER, DROP = 0, 1, 255
 
 
-def sample(docs: DataFrame, rows: int, key: str, text: str, label: str) -> DataFrame:
-    """At most ``rows`` documents of each label, those with the smallest hashes of their keys."""
-    order = Window.partitionBy("label").orderBy("hash", "key")
-    named = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("key"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("hash")
+def sample(docs: DataFrame, rows: int) -> DataFrame:
+    """Of ``key, text, label``: at most ``rows`` rows of each label, those with the smallest hashes of
+    their keys."""
+    order = Window.partitionBy("chosen_label").orderBy("hash", "chosen_key")
+    named = docs.filter(F.col("label").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("key").alias("chosen_key"), F.col("label").alias("chosen_label"), F.xxhash64("key").alias("hash")
     )
-    chosen = named.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows).select("key", "label")
-    return docs.join(F.broadcast(chosen), (docs[key] == F.col("key")) & (docs[label] == F.col("label")), "left_semi")
+    chosen = named.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    same = (F.col("key") == F.col("chosen_key")) & (F.col("label") == F.col("chosen_label"))
+    return docs.join(F.broadcast(chosen.select("chosen_key", "chosen_label")), same, "left_semi")
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -110,17 +112,19 @@ class CrossParser:
             self.bits.append(np.log2(len(symbols) + 1))
 
     def table(self, moves: list[dict[int, int]]) -> np.ndarray:
-        """Entry [state, class]: the next state times the width, with PHRASE if a phrase ended."""
+        """Entry [state, class]: the next state times the width, plus PHRASE for each phrase ended."""
         width = self.width
         first = np.zeros(width, np.int32)
         for symbol, target in moves[0].items():
             first[symbol] = target * width
         table = np.tile(first | PHRASE, (len(moves), 1))
+        # A character that the language lacks ends the phrase before it and is one of its own.
+        table[:, first == 0] = np.where(np.arange(len(moves))[:, None] > 0, 2 * PHRASE, PHRASE)
+        # Padding ends what phrase there is.
+        table[:, width - 1] = np.where(np.arange(len(moves)) > 0, PHRASE, 0)
         states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
         symbols = np.fromiter((s for m in moves for s in m), np.int64, len(states))
         table[states, symbols] = np.fromiter((t for m in moves for t in m.values()), np.int64, len(states)) * width
-        table[0, first == 0] = PHRASE  # a character that the language lacks is a phrase of its own
-        table[:, width - 1] = 0
         return table.astype(np.int32).ravel()
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,9 +157,9 @@ class CrossParser:
             for row in padded:
                 state += row
                 entry = table.take(state)
-                phrases += entry >> 30
+                phrases += entry >> 28
                 state = entry & (PHRASE - 1)
-            bits[i] = totals(phrases + 1, starts) * self.bits[i] / np.maximum(lengths, 1)
+            bits[i] = totals(phrases + (state > 0), starts) * self.bits[i] / np.maximum(lengths, 1)
         best = bits.argmin(axis=0)
         score = 1 / np.exp2(-EVIDENCE * (bits - bits.min(axis=0))).sum(axis=0)
         known = letters > 0
@@ -176,11 +180,11 @@ def train(
     """Automata from at most ``rows`` labelled documents a language and ``total_chars`` characters of
     them over all languages, in equal shares.  These two bound what the driver gathers."""
     texts: dict[str, list[str]] = {}
-    chosen = sample(docs, rows, key, text, label)
-    for row in chosen.select(F.col(label), F.substring(F.col(text), 1, total_chars).alias("t")).orderBy(
-        label, F.xxhash64(F.col(key)), F.col(key)
-    ).toLocalIterator():
-        texts.setdefault(row[0], []).append(row[1])
+    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
+    chosen = sample(given, rows).select("label", F.substring("text", 1, total_chars).alias("start"), "key")
+    for language, start, _ in chosen.orderBy("label", F.xxhash64("key"), "key", "start").toLocalIterator():
+        if len(texts.setdefault(language, [])) < rows:  # keys may repeat
+            texts[language].append(start)
     return CrossParser(texts, total_chars)
 
 
