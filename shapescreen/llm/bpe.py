@@ -18,6 +18,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -269,7 +270,8 @@ def encode(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(PairEncoder(definition))
 
     def work(texts):
-        return {"ids": [[int(n) for n in ids.split()] for _, ids, _ in shared.value.run(texts)]}
+        found = [[int(n) for n in ids.split()] for _, ids, _ in shared.value.run(texts)]
+        return {"ids": pa.array(found, pa.list_(pa.int32()))}
 
     return map_texts(docs, work, "ids array<int>", key, text)
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapescreen.llm.batches import free_names
 from shapescreen.sources.store import stage
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -63,21 +64,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", support: fl
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", support: float = 0.001) -> DataFrame:
-    """The rows that stay, with all their columns.
+    """The rows that stay, with all their columns, whatever their names.
 
-    Needs keys that name rows: rows are dropped by (key, digest), so of rows that repeat both all
-    but one are dropped first.
+    Rows are dropped by key and text; of rows that repeat both one stays.
     """
-    marked = docs.withColumn("_digest", digest(F.col(text)))
-    gone = (
+    own, other_key, other = free_names(docs, "digest", "other_key", "other_digest")
+    lots = (
         groups(docs, key, text, support)
-        .groupBy(F.col(key).alias("_key"), F.col("digest").alias("_digest"))
-        .agg(F.max("kept").alias("_kept"), F.count("*").alias("_times"))
+        .groupBy(F.col(key).alias(other_key), F.col("digest").alias(other))
+        .agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+        .filter(~F.col("stays") | (F.col("times") > 1))
     )
-    dropped = gone.filter(~F.col("_kept")).select("_key", "_digest")
-    repeated = gone.filter(F.col("_kept") & (F.col("_times") > 1)).select("_key", "_digest")
-    same = F.col(key).eqNullSafe(F.col("_key")) & (marked["_digest"] == F.col("o._digest"))
-    left = marked.join(dropped.alias("o"), same, "left_anti")
-    once = left.join(repeated.alias("o"), same, "left_anti")
-    again = left.join(repeated.alias("o"), same, "left_semi").dropDuplicates([key, "_digest"])
-    return once.unionByName(again).drop("_digest")
+    lots = stage(lots, "copies")
+    marked = docs.withColumn(own, digest(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col(other_key)) & (F.col(own) == F.col(other))
+    left = marked.join(lots.select(other_key, other), same, "left_anti")
+    repeated = lots.filter("stays").select(other_key, other)
+    if not repeated.isEmpty():
+        left = left.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([key, own]))
+    return left.drop(own)
