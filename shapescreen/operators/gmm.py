@@ -34,7 +34,9 @@ TOLERANCE = 1e-3
 MAX_ITER = 100
 REG_COVAR = 1e-6
 
-_SAMPLE = 2048
+# Conformers of each fold that a mixture starts from, at least; four per component if more.
+START_ROWS = 2048
+
 _KMEANS_STEPS = 10
 _CELLS = 1 << 22
 
@@ -151,10 +153,13 @@ def fit(
     max_iter: int = MAX_ITER,
     seed: int = 0,
     chosen: dict | None = None,
+    start_rows: int = START_ROWS,
 ) -> DataFrame:
     """Fit mixtures for all targets, portions, component counts and folds of training ``rows``.
 
-    A model with no more rows than components is listed as skipped, one whose
+    A mixture starts from ``max(start_rows, 4 * components)`` random conformers of each fold; all
+    conformers take part in every step after that.  The start of a model depends on nothing but
+    its own data, components and seed.  A model with no more rows than components is listed as skipped, one whose
     covariance breaks down as failed.
     """
     full = covariance == "full"
@@ -164,10 +169,9 @@ def fit(
     grid = model_grid(counts, components, folds, chosen)
     table.append([m for m in grid if m.n_rows <= m.param], lambda m: None)
     todo = [m for m in grid if m.n_rows > m.param]
-    width = int(counts["width"].max()) if todo else 0
-    per_component = 8 * (2 * width * width if full else 2 * width) + 8 * (width + 1)
-    for wave in waves(todo, lambda m: m.param * per_component):
-        _initialise(rows, wave, full, seed)
+    per_component = lambda width: 8 * (2 * width * width if full else 2 * width) + 8 * (width + 1)
+    for wave in waves(todo, lambda m: m.param * per_component(m.width)):
+        _initialise(rows, wave, full, seed, start_rows)
         live = [m for m in wave if not m.failed]
         for iteration in range(1, max_iter + 1):
             if not live:
@@ -179,12 +183,17 @@ def fit(
     return table.read()
 
 
-def _initialise(rows: DataFrame, models: list[Model], full: bool, seed: int) -> None:
-    """Start every model from a bounded random sample of its data set, one group per data set."""
+def _initialise(rows: DataFrame, models: list[Model], full: bool, seed: int, start_rows: int) -> None:
+    """Start every model from a bounded random sample of its data set, one group per data set.
+
+    The sample is as large as the largest start asks for; each model takes the first rows of it
+    that its own start wants, so it does not depend on the other models.
+    """
     wanted: dict[tuple, list] = {}
     for i, m in enumerate(models):
         wanted.setdefault((m.target, m.portion), []).append((i, m.param, m.fold))
-    size = max(_SAMPLE, 4 * max(m.param for m in models))
+    own_size = lambda k: max(start_rows, 4 * k)
+    size = own_size(max(m.param for m in models))
     conformers = rows.select(
         "target",
         F.col("portion").cast("double").alias("portion"),
@@ -203,11 +212,12 @@ def _initialise(rows: DataFrame, models: list[Model], full: bool, seed: int) ->
     sample = conformers.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= size)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("u")
+        group = group.sort_values(["u", "rn"])
         x, fold = np.stack(group["features"].to_numpy()), group["fold"].to_numpy()
+        nth = group["rn"].to_numpy()
         out = []
         for i, k, held_out in wanted.get((key[0], key[1]), ()):
-            own = x[trains(fold, held_out)]
+            own = x[trains(fold, held_out) & (nth <= own_size(k))]
             try:
                 mix = _start(own, k, full, seed + 1)
             except np.linalg.LinAlgError:
@@ -308,7 +318,7 @@ def component_rule(n_rot: Column) -> Column:
 
 
 def fit_molecule(x: np.ndarray, k: int, full: bool, seed: int = 0) -> dict:
-    """Mixture of one molecule; no more components than conformers."""
+    """Mixture of one molecule; with fewer conformers than components one component each."""
     mix = _start(x, min(k, len(x)), full, seed)
     shift, before = mix["shift"], -np.inf
     for _ in range(MAX_ITER):
@@ -325,18 +335,36 @@ def fit_molecule(x: np.ndarray, k: int, full: bool, seed: int = 0) -> dict:
     return mix
 
 
+def mixture_status(molecules: DataFrame, k: Column | None = None) -> DataFrame:
+    """Components that each molecule's mixture asks for, its conformers, and whether they suffice:
+    ``ok``, ``short`` or ``empty``."""
+    wanted = component_rule(F.col("n_rot")) if k is None else k
+    return molecules.select(
+        "target", "mol_id", wanted.cast("int").alias("k"), F.size("conformers").alias("conformers")
+    ).withColumn(
+        "status",
+        F.when(F.col("conformers") < 1, "empty").when(F.col("conformers") < F.col("k"), "short").otherwise("ok"),
+    )
+
+
 def molecule_mixtures(
-    molecules: DataFrame, covariance: str = "full", k: Column | None = None
+    molecules: DataFrame, covariance: str = "full", k: Column | None = None, short: str = "shrink"
 ) -> DataFrame:
     """Replace conformers by ``rows``: one packed row per mixture component.
 
-    Fits are independent, one molecule per row, so there is no shuffle.
+    Fits are independent, one molecule per row, so there is no shuffle.  ``short`` says what becomes
+    of molecules with fewer conformers than components (:func:`mixture_status` lists them):
+    ``shrink`` gives them one component per conformer, ``reject`` leaves them out.
     """
+    if short not in ("shrink", "reject"):
+        raise ValueError("short is 'shrink' or 'reject'")
     full = covariance == "full"
     k = component_rule(F.col("n_rot")) if k is None else k
     plain = molecules.select(
         "target", "mol_id", "active", k.cast("int").alias("k"), F.col("conformers.features").alias("x")
     ).filter(F.size("x") > 0)
+    if short == "reject":
+        plain = plain.filter(F.size("x") >= F.col("k"))
     schema = T.StructType(
         [
             *[plain.schema[c] for c in ("target", "mol_id", "active")],

@@ -32,6 +32,8 @@ _DIRECT_BYTES = 64 << 20
 _FAN_IN = 64
 # Training data per task; a pass costs much more per byte than a scan.
 _TASK_BYTES = 1 << 20
+# How the scores of a molecule's conformers become one.
+REDUCTIONS = {"max": np.maximum, "min": np.minimum, "mean": np.add}
 # Score reported for a regression target.
 ACTIVE_VALUE = 100.0
 
@@ -43,6 +45,7 @@ class Model:
     param: int
     fold: int
     n_rows: int
+    width: int = 0
     state: dict = field(default_factory=dict)
 
     @property
@@ -82,7 +85,7 @@ def row_counts(rows: DataFrame) -> pd.DataFrame:
 def model_grid(
     counts: pd.DataFrame, params: Iterable[int], folds: Iterable[int], chosen: dict | None = None
 ) -> list[Model]:
-    """One model per data set, parameter and fold, with its number of training rows.
+    """One model per data set, parameter and fold, with its training rows and feature width.
 
     ``chosen`` maps (target, portion) to the only parameter wanted there.
     """
@@ -94,9 +97,10 @@ def model_grid(
             if (target, float(portion)) not in chosen:
                 continue
             params = [chosen[target, float(portion)]]
+        width = int(part["width"].max())
         for fold in folds:
             n = int(part.loc[trains(part["fold"], fold), "n"].sum())
-            out += [Model(target, float(portion), int(p), int(fold), n) for p in params]
+            out += [Model(target, float(portion), int(p), int(fold), n, width) for p in params]
     return out
 
 
@@ -310,9 +314,11 @@ def score_molecules(
 ) -> DataFrame:
     """Score each molecule with the models of its target, portion and fold.
 
-    A molecule's score is the ``max`` or ``mean`` of its conformers' scores.  The
+    A molecule's score is the ``max``, ``min`` or ``mean`` of its conformers' scores.  The
     molecule is one row, so nothing is shuffled.
     """
+    if reduce not in REDUCTIONS:
+        raise ValueError(f"reduce is one of {', '.join(REDUCTIONS)}")
     trained = models.filter(F.col("status") == "ok")
     sizes = (
         trained.groupBy("target", "portion", "param", "fold")
@@ -374,10 +380,9 @@ def _scorer(shared, decode, row_scores, reduce):
                     if (key, param) not in decoded:
                         decoded[key, param] = decode(payload)
                     scores = row_scores(decoded[key, param], group.values)
-                    if reduce == "max":
-                        per_molecule = np.maximum.reduceat(scores, group.starts)
-                    else:
-                        per_molecule = np.add.reduceat(scores, group.starts) / counts
+                    per_molecule = REDUCTIONS[reduce].reduceat(scores, group.starts)
+                    if reduce == "mean":
+                        per_molecule = per_molecule / counts
                     n = len(group)
                     repeat = lambda value, kind: pa.array([value] * n, kind)
                     yield pa.RecordBatch.from_arrays(

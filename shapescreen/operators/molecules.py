@@ -31,8 +31,15 @@ def targets(molecules: DataFrame) -> DataFrame:
     return molecules.select("target").distinct()
 
 
-def label_counts(molecules: DataFrame) -> DataFrame:
-    return molecules.groupBy("target").agg(
+def label_counts(molecules: DataFrame, keys=("target",)) -> DataFrame:
+    """Actives and decoys of each group.  A molecule counts once, in however many rows it appears,
+    as it does with several descriptor types in one table."""
+    return count_labels(molecules.select(*keys, "mol_id", "active").distinct(), keys)
+
+
+def count_labels(rows: DataFrame, keys=("target",)) -> DataFrame:
+    """Actives and decoys of each group in a table with one row per molecule."""
+    return rows.groupBy(*keys).agg(
         F.count_if(F.col("active")).alias("num_actives"),
         F.count_if(~F.col("active")).alias("num_decoys"),
     )
@@ -49,13 +56,17 @@ def union_frames(*frames: DataFrame) -> DataFrame:
 def numbering_gaps(molecules: DataFrame) -> DataFrame:
     """Missing molecule numbers: actives count from 0, decoys on from the last active.
 
-    Numbers are counted per cell of 65,536; only cells that are not full are
-    written out and compared with the numbers present.
+    With a ``dtype`` column each descriptor type is a numbering of its own; a number
+    counts once, however often it appears.  Numbers are counted per cell of 65,536;
+    only cells that are not full are written out and compared with the numbers present.
     """
-    present = molecules.filter(F.col("mol_no").isNotNull()).select(
-        "target", "active", F.col("mol_no").cast("bigint").alias("mol_no")
+    keys = [c for c in ("target", "dtype") if c in molecules.columns]
+    present = (
+        molecules.filter(F.col("mol_no").isNotNull())
+        .select(*keys, "active", F.col("mol_no").cast("bigint").alias("mol_no"))
+        .distinct()
     )
-    last = present.groupBy("target").agg(
+    last = present.groupBy(*keys).agg(
         F.max(F.when(F.col("active"), F.col("mol_no"))).alias("last_active"),
         F.max(F.when(~F.col("active"), F.col("mol_no"))).alias("last_decoy"),
     )
@@ -63,7 +74,7 @@ def numbering_gaps(molecules: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     ranges = (
         last.select(
-            "target",
+            *keys,
             F.explode(
                 F.array(
                     F.struct(F.lit(True).alias("active"), zero.alias("lo"), F.col("last_active").alias("hi")),
@@ -71,7 +82,7 @@ def numbering_gaps(molecules: DataFrame) -> DataFrame:
                 )
             ).alias("r"),
         )
-        .select("target", "r.*")
+        .select(*keys, "r.*")
         .filter(F.col("lo") <= F.col("hi"))
     )
     cell = lambda c: F.floor(c / _CELL).cast("bigint")
@@ -79,24 +90,17 @@ def numbering_gaps(molecules: DataFrame) -> DataFrame:
         ranges.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
         .withColumn("first", F.greatest(F.col("lo"), F.col("cell") * _CELL))
         .withColumn("last", F.least(F.col("hi"), F.col("cell") * _CELL + (_CELL - 1)))
-        .select("target", "active", "cell", "first", "last")
+        .select(*keys, "active", "cell", "first", "last")
     )
-    # Decoys numbered below the last active lie outside the range; a cell shared with the
-    # range start may then count as full by mistake, so only numbers in range are counted.
-    low = ranges.select("target", "active", "lo")
-    counted = (
-        present.join(low, ["target", "active"])
-        .filter(F.col("mol_no") >= F.col("lo"))
-        .groupBy("target", "active", cell(F.col("mol_no")).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    open_cells = expected.join(counted, ["target", "active", "cell"], "left").filter(
-        F.coalesce(F.col("n"), F.lit(0)) < F.col("last") - F.col("first") + 1
+    counted = present.groupBy(*keys, "active", cell(F.col("mol_no")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    # Decoys numbered below the last active lie outside the range, so the count of a cell that
+    # begins within the range's first cell says nothing: it is compared number by number.
+    open_cells = expected.join(counted, [*keys, "active", "cell"], "left").filter(
+        (F.coalesce(F.col("n"), F.lit(0)) < F.col("last") - F.col("first") + 1)
+        | (F.col("first") > F.col("cell") * _CELL)
     )
     return (
-        open_cells.select(
-            "target", "active", F.explode(F.sequence("first", "last")).alias("mol_no")
-        )
-        .join(present, ["target", "active", "mol_no"], "left_anti")
-        .select("target", "active", "mol_no")
+        open_cells.select(*keys, "active", F.explode(F.sequence("first", "last")).alias("mol_no"))
+        .join(present, [*keys, "active", "mol_no"], "left_anti")
+        .select(*keys, "active", "mol_no")
     )

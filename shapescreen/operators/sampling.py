@@ -9,25 +9,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shapescreen.functions.bands import shuffle_key
-from shapescreen.operators.molecules import conformers, label_counts
+from shapescreen.operators.molecules import conformers, count_labels
 from shapescreen.operators.ranking import numbered
+from shapescreen.sources.store import stage
 
 # The learning curve and the hold-out shares.
 PORTIONS = (1.0, 0.8, 0.6, 0.5, 0.3, 0.1, 0.05, 10.0)
 TEST_SHARE = 0.2
 TRAIN_SHARE = 0.8
 
-# Leading characters of a file name that split a sequential order into cells
-# ("active_mol_" and the first five digits).
-_NAME_CELL = 16
 # Leading hex digits of a random key.
 _HASH_CELL = 4
 
 
 def file_name() -> Column:
-    """Name of a molecule's file, the sequential order of molecules."""
+    """Name of a numbered molecule's file."""
     label = F.when(F.col("active"), F.lit("active_mol_")).otherwise(F.lit("decoy_mol_"))
     return F.concat(label, F.col("mol_id").cast("string"))
 
@@ -38,8 +37,14 @@ def _ordered(rows: DataFrame, policy: str, seed: int, name: Column | None) -> Da
         rows = rows.withColumn("key", shuffle_key(F.col("mol_id"), seed))
         return rows.withColumn("cell", F.substring("key", 1, _HASH_CELL))
     if policy == "SEQUENTIAL":
-        rows = rows.withColumn("key", file_name() if name is None else name)
-        return rows.withColumn("cell", F.substring("key", 1, _NAME_CELL))
+        if name is None:
+            # The reader's identifiers are the files' names already.
+            named = isinstance(rows.schema["mol_id"].dataType, T.StringType)
+            name = F.col("mol_id") if named else file_name()
+        # Cells are ranges of the names that are there, so a common stem makes no hot cell.  They
+        # are stored: dealing them anew could draw other borders.
+        ranged = rows.withColumn("key", name).repartitionByRange("key")
+        return stage(ranged.withColumn("cell", F.spark_partition_id()), "name-order")
     raise ValueError("policy is 'RANDOM' or 'SEQUENTIAL'")
 
 
@@ -60,14 +65,15 @@ def draw(
     1, a count above.  ``ratio`` gives decoys per active; below 0 it is that of
     the target, 0 takes no decoys.  Targets short of actives are topped up with
     decoys.  ``exclude(target, portion, mol_id)`` is never drawn.  ``totals``
-    are the label counts of all files, by default those of ``molecules``.
+    are the label counts of all files, by default those of ``molecules``; pass those of the
+    listing where some files were rejected, so that rejects don't change the sample sizes.
     """
     group = ["target", "portion", "active"]
     wanted = F.array(
         *[F.struct(F.lit(float(p)).alias("portion"), F.lit(float(p * share)).alias("x")) for p in portions]
     )
     keys = molecules.select("target", "mol_id", "active")
-    totals = label_counts(keys) if totals is None else totals
+    totals = count_labels(keys) if totals is None else totals
     rows = keys.withColumn("portion", F.explode(F.transform(wanted, lambda w: w["portion"])))
     if exclude is not None:
         rows = rows.join(

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from shapescreen.operators import gmm, iforest, mlp, ocsvm, sampling
 from shapescreen.operators.evaluation import evaluate
 from shapescreen.operators.models import training_rows
+from shapescreen.operators.molecules import union_frames
 from shapescreen.operators.screening import screen
-from shapescreen.sources.store import stage
+from shapescreen.sources.descriptors import DESCRIPTOR_TYPES
+from shapescreen.sources.store import append_results, pending_targets, save_models, stage, stored
 
 METRICS = ("auc", "auc_rank", "ef_1", "ef_5")
 
@@ -33,6 +35,8 @@ class Family:
     metric: str
     actives_only: bool = True
     options: dict = field(default_factory=dict)
+    # Options of the final fit, where they differ.
+    final: dict = field(default_factory=dict)
 
 
 # Grids, fold counts and the metric that picks the parameter.
@@ -41,7 +45,7 @@ FAMILIES = {
     "gmm_auc": Family(gmm.fit, gmm.score, gmm.COMPONENTS, 10, "auc"),
     "iforest": Family(iforest.fit, iforest.score, iforest.TREES, 5, "ef_1"),
     "ocsvm": Family(ocsvm.fit, ocsvm.score, (ocsvm.NU_PERCENT,), 3, "auc"),
-    "mlp": Family(mlp.fit, mlp.score, mlp.HIDDEN, 3, "auc", False),
+    "mlp": Family(mlp.fit, mlp.score, mlp.HIDDEN, 3, "auc", False, final={"max_iter": 500}),
     "mlp_early_stopping": Family(
         mlp.fit, mlp.score, mlp.HIDDEN, 3, "auc", False, {"max_iter": 1000, "early_stopping": True}
     ),
@@ -52,19 +56,24 @@ FAMILIES = {
         5,
         "auc_rank",
         False,
-        {"max_iter": 1000, "tol": 1e-3, "activity_l2": mlp.ACTIVITY_L2},
+        {"max_iter": 1000, "tol": 1e-3, "alpha": 0.0, "activity_l2": mlp.ACTIVITY_L2},
     ),
 }
 
 
 def screening_report(molecules: DataFrame, template_conformers: str = "all") -> DataFrame:
-    """Rank all molecules against every active; one row of figures per target."""
-    scores = stage(screen(molecules, template_conformers), "scores")
-    return evaluate(scores, ["target"], "template_id")
+    """Rank all molecules against every active; one row of figures per target and descriptor type."""
+    keys = [c for c in ("target", "dtype") if c in molecules.columns]
+    scores = stage(screen(molecules, template_conformers, keys=tuple(keys)), "scores")
+    return evaluate(scores, keys, "template_id")
 
 
 def screening_results(
-    molecules: DataFrame, portions=(1.0,), template_conformers: str = "lec", seed: int = 0
+    molecules: DataFrame,
+    portions=(1.0,),
+    template_conformers: str = "lec",
+    seed: int = 0,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Screening figures per target, descriptor type and portion, all types in one run.
 
@@ -78,7 +87,7 @@ def screening_results(
             keys=("target", "dtype", "portion"),
         )
     else:
-        scores = screening_portions(molecules, portions, template_conformers, seed=seed)
+        scores = screening_portions(molecules, portions, template_conformers, seed=seed, totals=totals)
     group = ["target", "dtype", "portion"]
     figures = stage(evaluate(stage(scores, "scores"), group, "template_id"), "screening")
     return figures.withColumn("elapsed_s", F.lit(time.time() - began))
@@ -90,13 +99,14 @@ def screening_portions(
     template_conformers: str = "lec",
     policy: str = "SEQUENTIAL",
     seed: int = 0,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of samples of each target at several portions, at its label ratio.
 
-    The same molecules are taken for every descriptor type.
+    The same molecules are taken for every descriptor type.  ``totals``: see :func:`sampling.draw`.
     """
     keys = molecules.select("target", "mol_id", "active").distinct()
-    drawn = sampling.draw(keys, portions, 1.0, -1, policy, seed)
+    drawn = sampling.draw(keys, portions, 1.0, -1, policy, seed, totals=totals)
     sampled = drawn.drop("active").join(molecules, ["target", "mol_id"])
     return screen(
         stage(sampled, "portions"), template_conformers, keys=("target", "dtype", "portion")
@@ -113,16 +123,24 @@ class Split:
     redraw: DataFrame
 
 
-def split(molecules: DataFrame, portions=sampling.PORTIONS, folds: int = 5, seed: int = 0) -> Split:
-    """Hold-out split, folds of the training part, and the redrawn training actives."""
+def split(
+    molecules: DataFrame,
+    portions=sampling.PORTIONS,
+    folds: int = 5,
+    seed: int = 0,
+    totals: DataFrame | None = None,
+) -> Split:
+    """Hold-out split, folds of the training part, and the redrawn training actives.
+
+    ``molecules`` are of one descriptor type; :func:`run_types` takes several.  ``totals``: see
+    :func:`sampling.draw`.
+    """
     keys = stage(molecules.select("target", "mol_id", "active"), "keys")
-    test_keys = stage(sampling.draw(keys, portions, sampling.TEST_SHARE, -1, "RANDOM", seed), "test")
-    train_keys = stage(
-        sampling.draw(keys, portions, sampling.TRAIN_SHARE, -1, "RANDOM", seed + 1, exclude=test_keys),
-        "train",
-    )
+    draw = lambda share, seed, **kw: sampling.draw(keys, portions, share, -1, "RANDOM", seed, totals=totals, **kw)
+    test_keys = stage(draw(sampling.TEST_SHARE, seed), "test")
+    train_keys = stage(draw(sampling.TRAIN_SHARE, seed + 1, exclude=test_keys), "train")
     folded = sampling.kfold(train_keys, folds, ["target", "portion"], "RANDOM", seed + 3)
-    again = sampling.training_redraw(keys, test_keys, portions, seed)
+    again = sampling.training_redraw(keys, test_keys, portions, seed, totals=totals)
     body = molecules.select("target", "mol_id", "conformers")
 
     def attach(rows: DataFrame, name: str) -> DataFrame:
@@ -193,7 +211,7 @@ def final_evaluation(
         family.params,
         (-1,),
         chosen=chosen,
-        **{**family.options, **options},
+        **{**family.options, **family.final, **options},
     )
     scores = stage(family.score(data.test, models), "test-scores")
     figures = stage(evaluate(scores, ["target", "portion"]), "test-figures")
@@ -214,7 +232,7 @@ def refit(
         family.params,
         (-1,),
         chosen=_chosen(best),
-        **{**family.options, **options},
+        **{**family.options, **family.final, **options},
     )
 
 
@@ -235,15 +253,51 @@ def run(
     metric: str | None = None,
     train_mode: str = "all",
     seed: int = 0,
+    totals: DataFrame | None = None,
     **options,
 ) -> Experiment:
     """Whole experiment: split, cross-validate, choose, evaluate on the test part, refit."""
     params = family.params if params is None else params
     folds = family.folds if folds is None else folds
-    data = split(molecules, portions, folds, seed)
+    data = split(molecules, portions, folds, seed, totals)
     summary = stage(
         xval_summary(cross_validate(data, family, params, folds, train_mode, **options)), "xval"
     )
     best = stage(best_param(summary, metric or family.metric, params), "best")
     final = final_evaluation(data, family, best, train_mode, **options)
     return Experiment(summary, best, final, refit(data, family, best, train_mode, **options))
+
+
+def run_types(molecules: DataFrame, family: Family, dtypes=DESCRIPTOR_TYPES, **options) -> Experiment:
+    """The experiment for each descriptor type of one table; every result has its ``dtype``."""
+    parts = [
+        (name, run(molecules.filter(F.col("dtype") == name), family, **options))
+        for name in dtypes
+    ]
+    return Experiment(
+        *(
+            union_frames(*(getattr(part, field).withColumn("dtype", F.lit(name)) for name, part in parts))
+            for field in ("xval", "best", "final", "models")
+        )
+    )
+
+
+def resume(
+    molecules: DataFrame, family: Family, results: str, models: str, **options
+) -> DataFrame:
+    """Run the experiment for targets without a stored result; append results, then models.
+
+    Returns all stored results.  A run that stops before its results are stored repeats them; its
+    models are stored last, so a target's models may be missing after a stop, never its results twice.
+    """
+    spark = molecules.sparkSession
+    done = stored(spark, results)
+    todo = molecules
+    if done is not None:
+        todo = molecules.join(pending_targets(molecules.select("target"), done), "target", "left_semi")
+    if done is None or not todo.isEmpty():
+        made = run(stage(todo, "pending-molecules"), family, **options)
+        append_results(made.final, results)
+        save_models(made.models, models)
+        done = stored(spark, results)
+    return done

@@ -210,6 +210,52 @@ _SCAN = (
   lambda x: CASE WHEN abs(x) < 0.01 THEN 0.0::DOUBLE ELSE x END)) AS fs, count(*) OVER (PARTITION BY mol_id) AS nc FROM r)""",
 )
 
+# Usable files of the stand-in; the totals are those of all files or of these.
+_USABLE = "u AS (SELECT mol_id FROM v GROUP BY mol_id HAVING count(*) > 1)"
+_ALL_KEYS = KEYS.replace("k AS", "k0 AS", 1)
+_FILE_KEYS = "k AS (SELECT k0.* FROM k0 JOIN u USING (mol_id))"
+
+
+def _file_sample(totals: str) -> str:
+    return _with(
+        _v(), T, LIB, _ALL_KEYS, _USABLE, _FILE_KEYS, TOTALS.replace("FROM k ", f"FROM {totals} "),
+        *_draw("d", (0.3, 0.8, 10.0), 1.0, 1.0, "SEQUENTIAL", 0),
+        select=f"SELECT target, portion, {NAME} AS mol_id, active FROM d",
+    )
+
+
+# One full Gaussian per target: elimination turns (covariance | unit) into (unit | inverse), and the
+# pivots give the determinant.
+_GMM1_FULL = (
+    "WITH RECURSIVE "
+    + ",\n".join(
+        (
+            _v(),
+            RANKED,
+            T,
+            LONG,
+            "mu AS (SELECT label AS target, i, avg(x) AS mu FROM long GROUP BY ALL)",
+            """cv AS (SELECT a.label AS target, a.i, b.i AS j, avg((a.x - ma.mu) * (b.x - mb.mu)) + CASE WHEN a.i = b.i THEN 1e-6 ELSE 0 END AS c
+  FROM long a JOIN long b ON a.mol_id = b.mol_id AND a.conf_id = b.conf_id
+  JOIN mu ma ON ma.target = a.label AND ma.i = a.i JOIN mu mb ON mb.target = a.label AND mb.i = b.i GROUP BY a.label, a.i, b.i)""",
+            "ha AS (SELECT target, i, list(c ORDER BY j) AS half FROM cv GROUP BY target, i)",
+            """ro AS (SELECT target, i, list_concat(half,
+    list_transform(range(18), lambda z: CASE WHEN z = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS line FROM ha)""",
+            """el AS (SELECT target, 1 AS p, list(line ORDER BY i) AS m, 0.0::DOUBLE AS logdet FROM ro GROUP BY target
+  UNION ALL SELECT target, p + 1, list_transform(m, lambda r, n: CASE WHEN n = p
+      THEN list_transform(r, lambda y: y / m[p][p])
+      ELSE list_transform(r, lambda y, j: y - r[p] * m[p][j] / m[p][p]) END), logdet + ln(m[p][p]) FROM el WHERE p <= 18)""",
+            "mv AS (SELECT target, list(mu ORDER BY i) AS mv FROM mu GROUP BY target)",
+            """dens AS (SELECT target, mol_id, label, -0.5 * (18 * ln(2 * pi()) + logdet + list_sum(list_transform(range(1, 19), lambda y:
+    (features[y] - mv[y]) * list_sum(list_transform(range(1, 19), lambda z: m[y][18 + z] * (features[z] - mv[z])))))) AS ll
+  FROM el JOIN mv USING (target), v WHERE p = 19)""",
+        )
+    )
+    + """
+SELECT target, 1 AS param, mol_id, round(avg(ll), 6) AS score, any_value(label = target) AS truth
+FROM dens GROUP BY target, mol_id"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     rounded = "round({0}, 6) AS {0}"
@@ -243,6 +289,32 @@ FROM (SELECT list_transform(embedding[1:{w}], lambda x: CAST(x AS DOUBLE)) AS fe
             select="""SELECT target, active, mol_no FROM (SELECT target, active, unnest(range(lo, hi + 1)) AS mol_no FROM rg)
 EXCEPT SELECT target, active, mol_no FROM n""",
         ),
+        "numbering_gaps_types": _with(
+            _v(), LIB,
+            "l AS (SELECT label AS target, max(run) AS last FROM lib GROUP BY label)",
+            """n AS (SELECT * FROM (SELECT label AS target, true AS active, run AS mol_no FROM lib UNION ALL
+  SELECT l.target, false, l.last + 1 + lib.run FROM lib JOIN l ON lib.label = (l.target + 1) % 10),
+  (SELECT unnest(['usr', 'esh', 'es5']) AS dtype) WHERE dtype <> 'usr' OR mol_no % 7 <> 3)""",
+            "la AS (SELECT target, dtype, max(mol_no) AS last FROM n WHERE active GROUP BY ALL)",
+            """rg AS (SELECT target, dtype, true AS active, 0 AS lo, last AS hi FROM la UNION ALL
+  SELECT n.target, n.dtype, false, la.last + 1, max(n.mol_no) FROM n JOIN la USING (target, dtype) WHERE NOT n.active GROUP BY n.target, n.dtype, la.last)""",
+            select="""SELECT target, dtype, active, mol_no FROM (SELECT target, dtype, active, unnest(range(lo, hi + 1)) AS mol_no FROM rg)
+EXCEPT SELECT target, dtype, active, mol_no FROM n""",
+        ),
+        "label_counts_types": _with(
+            *BASE,
+            select="""SELECT target, dtype, count_if(active) AS num_actives, count_if(NOT active) AS num_decoys
+FROM k, (SELECT unnest(['all', 'usr', 'esh', 'es5']) AS dtype) GROUP BY target, dtype""",
+        ),
+        "sample_sequential_files": _file_sample("k"),
+        "sample_with_rejects": _file_sample("k0"),
+        "mixture_status": _with(
+            _v(), T,
+            """c AS (SELECT mol_id, CAST(greatest(mol_id % 4, 1) * 4 AS INTEGER) AS k, CAST(count(*) AS INTEGER) AS conformers
+  FROM v GROUP BY mol_id)""",
+            select="SELECT target, mol_id, k, conformers, CASE WHEN conformers < k THEN 'short' ELSE 'ok' END AS status FROM c, t",
+        ),
+        "gmm1_full_score": _GMM1_FULL,
         "resume_targets": _with(
             *BASE,
             select="SELECT target FROM k GROUP BY target HAVING count_if(active) < 13",

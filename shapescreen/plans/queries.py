@@ -90,6 +90,24 @@ def numbering_gaps(spark, sf):
     return mols.numbering_gaps(_numbered_library(spark, sf))
 
 
+def numbering_gaps_types(spark, sf):
+    """All descriptor types in one table; one of them lacks every seventh file."""
+    numbers = _numbered_library(spark, sf)
+    typed = mols.union_frames(*[numbers.withColumn("dtype", F.lit(d)) for d in descriptors.DESCRIPTOR_TYPES])
+    return mols.numbering_gaps(typed.filter((F.col("dtype") != "usr") | (F.col("mol_no") % 7 != 3)))
+
+
+def _every_type(spark, sf):
+    return mols.union_frames(*[embeddings.molecules(spark, sf, d) for d in descriptors.DESCRIPTOR_TYPES])
+
+
+def label_counts_types(spark, sf):
+    """Molecules of a target, and of each of its descriptor types."""
+    every = _every_type(spark, sf)
+    whole = mols.label_counts(every).withColumn("dtype", F.lit("all"))
+    return whole.unionByName(mols.label_counts(every, ("target", "dtype")))
+
+
 def resume_targets(spark, sf):
     keys = _keys(spark, sf)
     done = mols.label_counts(keys).filter(F.col("num_actives") >= 13)
@@ -148,6 +166,30 @@ def rejected_files(spark, sf):
     )
 
 
+def _files(spark, sf):
+    files = descriptors.parse_descriptors(_descriptor_texts(spark, sf), "es5")
+    return files.withColumn("target", F.col("target").cast("bigint"))
+
+
+def sample_sequential_files(spark, sf):
+    """Usable files in the order of their names, which are the reader's identifiers."""
+    return sampling.draw(descriptors.molecules(_files(spark, sf)), (0.3, 0.8, 10.0), 1.0, 1.0, "SEQUENTIAL")
+
+
+def sample_with_rejects(spark, sf):
+    """Sample sizes come from all files, rejected ones too."""
+    files = _files(spark, sf)
+    totals = mols.label_counts(files)
+    return sampling.draw(
+        descriptors.molecules(files), (0.3, 0.8, 10.0), 1.0, 1.0, "SEQUENTIAL", totals=totals
+    )
+
+
+def mixture_status(spark, sf):
+    """Which molecules have conformers enough for their own mixture."""
+    return gmm.mixture_status(embeddings.molecules(spark, sf))
+
+
 # ---- screening and evaluation ----------------------------------------------------------
 
 
@@ -171,8 +213,7 @@ def screen_fraction_report(spark, sf):
 
 def screening_descriptors(spark, sf):
     """All three descriptor types in one run, lowest-energy templates."""
-    every = mols.union_frames(*[embeddings.molecules(spark, sf, d) for d in descriptors.DESCRIPTOR_TYPES])
-    figures = experiment.screening_results(every)
+    figures = experiment.screening_results(_every_type(spark, sf))
     columns = ("auc", "auc_rank", "ef_1", "ef_5")
     return _rounded(figures.select("target", "dtype", *columns), 6, *columns)
 
@@ -374,7 +415,7 @@ def iforest_fit(spark, sf):
 
 def iforest_score(spark, sf):
     data = _dataset(spark, sf)
-    return _model_scores(iforest.score(data, iforest.fit(training_rows(data), (100, 10))))
+    return _model_scores(iforest.score(data, iforest.fit(training_rows(data), iforest.TREES)))
 
 
 def ocsvm_score(spark, sf):
@@ -384,19 +425,19 @@ def ocsvm_score(spark, sf):
 
 def mlp_score(spark, sf):
     data = _dataset(spark, sf)
-    return _model_scores(mlp.score(data, mlp.fit(training_rows(data, False), max_iter=60)))
+    return _model_scores(mlp.score(data, mlp.fit(training_rows(data, False))))
 
 
 def mlp_activity_score(spark, sf):
     data = _dataset(spark, sf)
-    models = mlp.fit(training_rows(data, False), max_iter=60, tol=1e-3, activity_l2=mlp.ACTIVITY_L2)
+    models = mlp.fit(training_rows(data, False), tol=1e-3, activity_l2=mlp.ACTIVITY_L2)
     return _model_scores(mlp.score(data, models))
 
 
 def mlp_lec_score(spark, sf):
     """Lowest-energy training conformers, early stopping on rows held out by hash."""
     data = _dataset(spark, sf)
-    models = mlp.fit(training_rows(data, False, "lec"), max_iter=60, early_stopping=True)
+    models = mlp.fit(training_rows(data, False, "lec"), early_stopping=True)
     return _model_scores(mlp.score(data, models))
 
 
@@ -499,18 +540,19 @@ def _xval(name, params, folds, train_mode="all", **options):
     return query
 
 
-gmm_xval = _xval("gmm", (1, 10), 5)
-gmm_lec_xval = _xval("gmm", (1, 2), 5, "lec")
-iforest_xval = _xval("iforest", (50, 10), 5)
-mlp_xval = _xval("mlp", (100,), 3, max_iter=30)
-ocsvm_xval = _xval("ocsvm", (50,), 3, max_iter=20)
+gmm_xval = _xval("gmm", gmm.COMPONENTS, 5)
+gmm_lec_xval = _xval("gmm", gmm.COMPONENTS, 5, "lec")
+iforest_xval = _xval("iforest", iforest.TREES, 5)
+mlp_xval = _xval("mlp", mlp.HIDDEN, 3)
+ocsvm_xval = _xval("ocsvm", (ocsvm.NU_PERCENT,), 3)
 
 
 def final_eval(spark, sf):
     result = experiment.run(
         embeddings.molecules(spark, sf), FAMILIES["gmm_auc"], (1.0, 0.5, 10.0), (1, 3), 3
     )
-    return result.final
+    columns = ("auc", "auc_rank", "ef_1", "ef_5")
+    return _rounded(result.final.drop("elapsed_s"), 6, *columns)
 
 
 def refit_model(spark, sf):
@@ -522,6 +564,7 @@ def refit_model(spark, sf):
 
 _QUERIES = (
     conformer_rank, lec_conformers, feature_projection, target_label_counts, numbering_gaps,
+    numbering_gaps_types, label_counts_types, sample_sequential_files, sample_with_rejects, mixture_status,
     resume_targets, descriptor_scan, rejected_files,
     screen_all, screen_lec, screen_fraction, screen_fraction_report, screen_topk, screening_report,
     screening_descriptors,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def load_models(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None where nothing was stored yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def pending_targets(targets: DataFrame, done: DataFrame) -> DataFrame:
     """Targets without a result row yet."""
     return targets.select("target").distinct().join(

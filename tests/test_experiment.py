@@ -115,3 +115,69 @@ def test_lumped_samples_hold_every_conformer(molecules):
     packed = sampling.with_descriptors(sample, molecules)
     assert packed.count() == sample.count()
     assert lumped.count() == packed.agg(F.sum(F.size("conformers"))).first()[0]
+
+
+def test_gaps_and_counts_with_several_types_and_repeats(spark):
+    from shapescreen.operators.molecules import label_counts, numbering_gaps
+
+    rows = [("t", d, f"active_mol_{n}", True, n) for d in ("usr", "esh", "es5") for n in (0, 1, 3, 5, 7, 8, 8)]
+    table = spark.createDataFrame(rows, "target string, dtype string, mol_id string, active boolean, mol_no int")
+    gaps = {(r["dtype"], r["mol_no"]) for r in numbering_gaps(table).collect()}
+    assert gaps == {(d, n) for d in ("usr", "esh", "es5") for n in (2, 4, 6)}
+    assert {r["mol_no"] for r in numbering_gaps(table.drop("dtype")).collect()} == {2, 4, 6}
+    assert [tuple(r) for r in label_counts(table).collect()] == [("t", 6, 0)]
+    assert {r["num_actives"] for r in label_counts(table, ("target", "dtype")).collect()} == {6}
+
+
+def test_decoys_below_the_actives_leave_gaps(spark):
+    from shapescreen.operators.molecules import numbering_gaps
+
+    rows = [("t", True, n) for n in range(5)] + [("t", False, n) for n in (0, 1, 2, 6, 8)]
+    table = spark.createDataFrame(rows, "target string, active boolean, mol_no int")
+    assert sorted(r["mol_no"] for r in numbering_gaps(table).collect()) == [5, 7]
+
+
+def test_names_with_a_common_stem_spread_over_cells(spark):
+    rows = spark.range(2000).selectExpr("'t' AS target", "concat('active_mol_', id) AS mol_id", "true AS active")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cells = sampling._ordered(rows, "SEQUENTIAL", 0, None).select("cell").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert cells > 4
+    drawn = sampling.draw(rows, (3.0,), 1.0, 0).collect()
+    assert sorted(r["mol_id"] for r in drawn) == ["active_mol_0", "active_mol_1", "active_mol_10"]
+
+
+def test_quotas_of_all_files(spark):
+    usable = table(spark, 6, 12)
+    totals = spark.createDataFrame([("t", 10, 20)], "target string, num_actives bigint, num_decoys bigint")
+    assert counts(sampling.draw(usable, (0.5,), 1.0, 1.0, totals=totals)) == (5, 5)
+    assert counts(sampling.draw(usable, (0.5,), 1.0, 1.0)) == (3, 3)
+
+
+def test_resume_skips_finished_targets(spark, molecules, tmp_path, monkeypatch):
+    results, models = str(tmp_path / "results"), str(tmp_path / "models")
+    family, options = FAMILIES["gmm"], {"portions": (1.0,), "params": (1,), "folds": 2, "covariance": "diag"}
+    experiment.resume(molecules.filter("target = 3"), family, results, models, **options)
+    ran = []
+    run = experiment.run
+    monkeypatch.setattr(
+        experiment, "run", lambda m, *a, **k: ran.append({r[0] for r in m.select("target").distinct().collect()}) or run(m, *a, **k)
+    )
+    both = molecules.filter("target in (3, 4)")
+    found = experiment.resume(both, family, results, models, **options)
+    assert ran == [{4}] and sorted(r["target"] for r in found.collect()) == [3, 4]
+    assert experiment.resume(both, family, results, models, **options).count() == 2 and len(ran) == 1
+    assert spark.read.parquet(models).count() == 2
+
+
+def test_types_run_one_by_one(spark, molecules):
+    one = molecules.filter("target = 3")
+    other = one.withColumn("dtype", F.lit("usr"))
+    found = experiment.run_types(
+        one.unionByName(other), FAMILIES["gmm"], ("es5", "usr"), portions=(1.0,), params=(1,), folds=2, covariance="diag"
+    )
+    assert sorted(r["dtype"] for r in found.final.collect()) == ["es5", "usr"]
+    report = experiment.screening_report(one.unionByName(other)).collect()
+    assert sorted(r["dtype"] for r in report) == ["es5", "usr"]

@@ -202,3 +202,71 @@ def test_a_model_that_breaks_down_is_reported_and_left_out(dataset, monkeypatch)
     monkeypatch.undo()
     assert sorted(r["status"] for r in fitted.collect()) == ["failed", "ok"]
     assert gmm.score(dataset, fitted).select("target").distinct().count() == 1
+
+
+def test_starts_do_not_depend_on_the_grid(dataset):
+    """The larger model of a grid draws a larger sample; the smaller one starts as it does alone."""
+    rows = training_rows(dataset)
+    alone = score_map(gmm.score(dataset, gmm.fit(rows, (2,), start_rows=6, covariance="diag")))
+    both = score_map(gmm.score(dataset, gmm.fit(rows, (2, 9), start_rows=6, covariance="diag")))
+    assert {k: v for k, v in both.items() if k[1] == 2} == pytest.approx(alone)
+
+
+def test_losses_that_are_not_finite_fail(dataset):
+    broken = dataset.withColumn(
+        "conformers",
+        F.transform("conformers", lambda c: c.withField("features", F.transform(c["features"], lambda v: v * 1e200))),
+    )
+    for fitted in (mlp.fit(training_rows(broken, False), (4,), max_iter=5), ocsvm.fit(training_rows(broken), max_iter=2)):
+        found = fitted.collect()
+        assert {r["status"] for r in found} == {"failed"} and all(r["payload"] is None for r in found)
+
+
+def test_weight_penalty_is_an_argument(dataset):
+    rows = training_rows(dataset, False)
+    norm = lambda alpha: sum(
+        float((mlp.decode(r["payload"])["layers"][0] ** 2).sum())
+        for r in mlp.fit(rows, (8,), max_iter=40, alpha=alpha).collect()
+    )
+    assert norm(1e4) < norm(0.0)
+
+
+def test_targets_may_have_other_widths(dataset):
+    mixed = dataset.withColumn(
+        "conformers",
+        F.when(
+            F.col("target") == 1,
+            F.transform("conformers", lambda c: c.withField("features", F.slice(c["features"], 1, 12))),
+        ).otherwise(F.col("conformers")),
+    )
+    fitted = mlp.fit(training_rows(mixed, False), (4,), max_iter=3).collect()
+    assert {r["target"]: mlp.decode(r["payload"])["mean"].shape for r in fitted} == {0: (18,), 1: (12,)}
+    assert {r["status"] for r in ocsvm.fit(training_rows(mixed), max_iter=2, features=16).collect()} == {"ok"}
+
+
+def test_reductions(dataset):
+    fitted = ocsvm.fit(training_rows(dataset), max_iter=4, features=32)
+    by = {how: score_map(ocsvm.score(dataset, fitted, how)) for how in ("max", "min", "mean")}
+    assert all(by["min"][k] <= by["mean"][k] + 1e-12 and by["mean"][k] <= by["max"][k] + 1e-12 for k in by["max"])
+    turned = score_map(ocsvm.score(dataset, fitted, "max", np.negative))
+    assert turned == pytest.approx({k: -v for k, v in by["min"].items()})
+    with pytest.raises(ValueError):
+        ocsvm.score(dataset, fitted, "median")
+
+
+def test_short_molecules_are_shrunk_or_rejected(molecules):
+    rows = molecules.filter("target = 0")
+    status = {r["mol_id"]: r for r in gmm.mixture_status(rows).collect()}
+    short = {m for m, r in status.items() if r["status"] == "short"}
+    assert short and len(short) < len(status)
+    kept = {r["mol_id"] for r in gmm.molecule_mixtures(rows, "diag", short="reject").collect()}
+    assert kept == set(status) - short
+    sizes = {r["mol_id"]: len(r["rows"]) for r in gmm.molecule_mixtures(rows, "diag").collect()}
+    assert all(sizes[m] == min(r["k"], r["conformers"]) for m, r in status.items())
+    with pytest.raises(ValueError):
+        gmm.molecule_mixtures(rows, short="drop")
+
+
+def test_rows_per_tree_is_an_argument(dataset):
+    fitted = iforest.fit(training_rows(dataset), (3,), rows_per_tree=5).collect()
+    assert all({n for n, _ in iforest.decode(r["payload"])} == {5} for r in fitted)
