@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many UTF-8 bytes; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Spark's defaults for "no bound on a batch's bytes".
 UNBOUNDED = ("-1", "2147483647", "9223372036854775807")
