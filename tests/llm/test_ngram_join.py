@@ -52,8 +52,7 @@ def corpus(seed, size=260):
             texts.append(" ".join(own))
             for _ in range(draw.choice([0, 1, 1, 2, 3])):
                 at = draw.randrange(len(own))
-                own = own[:at] + draw.choice([[], [word()], [word(), word()]]) + own[at + 1 :]
-            own = own or [word()]
+                own = own[:at] + draw.choice([[], [word()], [word(), word()]]) + own[at + 1 :] or [word()]
     ids = list(range(len(texts)))
     draw.shuffle(ids)
     return list(zip(ids, texts))
