@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapescreen.llm.batches import bound_batches, code_points, slices, totals
+from shapescreen.llm.batches import bound_batches, code_points, slices
 from shapescreen.llm.components import components
 from shapescreen.llm.pretokens import span_hashes
 from shapescreen.sources.store import stage
@@ -42,6 +42,8 @@ RANGE_SIZE, RANGES = 2_000_000, 96
 HEAVY = 4
 #: Groups of copies with over this share of the documents are told to the second pass.
 COPIES = 0.001
+#: Parts of the suffix filter, a power of two.
+PARTS = 32
 #: Rank of heavy shingles in the order; counts of others stay below.
 MOST = (1 << 31) - 1
 
@@ -131,10 +133,23 @@ def measured(docs: DataFrame, words: int, share: int, key: str, text: str) -> Da
     )
 
 
+def low_bytes(hashes: np.ndarray) -> bytes:
+    """The lower six bytes of each hash."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_low_bytes(raw: bytes, lot: int) -> np.ndarray:
+    """Hashes of one range from their lower six bytes, told apart from those of other ranges."""
+    whole = np.zeros((len(raw) // 6, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return whole.view("<u8").ravel() | (np.uint64(lot & 0xFFFF) << np.uint64(48))
+
+
 def packed_shingles(docs: DataFrame, words: int, ranges: int, heavy, copies, key: str, text: str) -> DataFrame:
     """Shingles of all sets, packed by range of hashes: set ids, set sizes, counts, hashes.
 
-    Heavy shingles (sorted array) are packed apart, in ranges of set ids.  ``copies``: the key that
+    Six bytes of a hash are enough beside its range.  Heavy shingles (sorted array) are packed
+    apart, whole, in ranges of set ids.  ``copies``: the key that
     stands for each set with very many copies.
     """
     shared = docs.sparkSession.sparkContext.broadcast((heavy, copies))
@@ -154,7 +169,7 @@ def packed_shingles(docs: DataFrame, words: int, ranges: int, heavy, copies, key
                     "sids": sids[own].tobytes(),
                     "sizes": sizes[own].astype("<i4").tobytes(),
                     "counts": np.diff(np.append(first, b - a)).astype("<i4").tobytes(),
-                    "hashes": hashes[a:b].tobytes(),
+                    "hashes": hashes[a:b].tobytes() if common else low_bytes(hashes[a:b]),
                 }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +220,10 @@ def shared_shingles(lot: pa.Table) -> pa.Table:
         counts = np.frombuffer(raw["counts"], "<i4")
         sids = np.repeat(np.frombuffer(raw["sids"], np.int64), counts)
         sizes = np.repeat(np.frombuffer(raw["sizes"], "<i4"), counts)
-        hashes = np.frombuffer(raw["hashes"], np.uint64)
+        if common:
+            hashes = np.frombuffer(raw["hashes"], np.uint64)
+        else:
+            hashes = from_low_bytes(raw["hashes"], own.column("lot")[0].as_py() if own.num_rows else 0)
         order = np.lexsort((sids, hashes))
         sids, sizes, hashes = sids[order], sizes[order], hashes[order]
         new = np.ones(len(hashes), bool)
@@ -222,23 +240,33 @@ def shared_shingles(lot: pa.Table) -> pa.Table:
     return pa.table({"sid": sids, "n": sizes.astype(np.int32), "df": df.astype(np.int32), "h": hashes})
 
 
+def enough(common, percent: int, x: str = "n_a", y: str = "n_b"):
+    """100 * common >= percent * union."""
+    return (100 + percent) * common >= percent * (F.col(x) + F.col(y))
+
+
+def most_common(x: str, y: str):
+    """Suffix filter: shingles fall into PARTS by hash, and no more are common than the smaller
+    counts of each part add up to.  A set's unique shingles are not counted at all."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+
+
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``a, b`` those that reach the threshold, by suffix filter and full count."""
-    side = lambda c, *names: sets.select(
-        F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in names)
+    """Of the pairs ``a, b`` those that reach the threshold, by a full count of common shingles."""
+    side = lambda c: sets.select(
+        F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"hashes_{c}")
     )
-    enough = lambda common: (  # noqa: E731  100 * common >= percent * union
-        (100 + percent) * common >= percent * (F.col("n_a") + F.col("n_b"))
-    )
-    lower = F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y))
-    likely = (
-        pairs.join(side("a", "parts"), "a")
-        .join(side("b", "parts"), "b")
-        .filter(enough(F.aggregate(lower, F.lit(0), lambda x, y: x + y)))
-        .select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(enough(F.size(F.array_intersect("hashes_a", "hashes_b")), percent)).select("a", "b")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``a, b`` those that pass the suffix filter."""
+    side = lambda c: sets.select(
+        F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"parts_{c}")
     )
-    both = likely.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
-    return both.filter(enough(F.size(F.array_intersect("hashes_a", "hashes_b")))).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(enough(most_common("parts_a", "parts_b"), percent)).select("a", "b")
 
 
 def near(percent: int, x: str, y: str):
@@ -299,10 +327,10 @@ def cluster(
         .withColumn("prefix", F.expr(f"n - ((n * {percent} + 99) div 100) + 1"))
         .filter("unique < prefix")
     )
-    part = lambda number: F.size(F.filter("hashes", lambda h: F.shiftrightunsigned(h, 60) == number))
+    part = lambda number: F.size(F.filter("hashes", lambda h: h.bitwiseAND(PARTS - 1) == number))
     active = stage(
         own.select(
-            "sid", "n", "unique", "prefix", "hashes", F.array(*(part(F.lit(i)) for i in range(16))).alias("parts")
+            "sid", "n", "unique", "prefix", "hashes", F.array(*(part(F.lit(i)) for i in range(PARTS))).alias("parts")
         ),
         "active-sets",
     )
@@ -342,7 +370,7 @@ def cluster(
         .distinct()
     )
     tried = stage(stars, "star-pairs")
-    linked = stage(links(tried, active, percent), "star-links")
+    linked = stage(links(likely(tried, active, percent), active, percent), "star-links")
 
     labels = components(linked)
     posts = stage(
@@ -359,15 +387,26 @@ def cluster(
         .select("h", "band", "main"),
         "open-lists",
     )
-    left = stage(posts.join(open_lists, ["h", "band"]), "open-postings")
-    x = left.filter("root <> main").drop("main")
-    x = x.select("h", "band", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "own", "root")))
-    y = left.select("h", "band", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "own", "root")))
+    sketch = active.select("sid", "parts", F.expr("slice(hashes, 1, int(prefix - unique))").alias("posted"))
+    left = stage(
+        posts.join(open_lists, ["h", "band"]).withColumn("inner", F.col("root") == F.col("main")).join(sketch, "sid"),
+        "open-postings",
+    )
+    columns = ("sid", "n", "pos", "own", "root", "inner", "parts", "posted")
+    x, y = (left.select("h", "band", *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "xy")
     rest = (
-        x.join(y, ["h", "band"])
-        .filter((F.col("x_root") != F.col("y_root")) & (F.col("x_own") | F.col("y_own")) & near(percent, "x_", "y_"))
+        x.filter(~F.col("x_inner"))
+        .join(y, ["h", "band"])
+        .filter(
+            (F.col("x_root") != F.col("y_root"))
+            & (F.col("x_own") | F.col("y_own"))
+            & (F.col("y_inner") | (F.col("x_sid") < F.col("y_sid")))
+            & near(percent, "x_", "y_")
+            & enough(most_common("x_parts", "y_parts"), percent, "x_n", "y_n")
+            # A pair comes up once: at the rarest shingle that both have posted.
+            & (F.get(F.array_intersect("x_posted", "y_posted"), F.lit(0)) == F.col("h"))
+        )
         .select(*ordered("x_sid", "y_sid"))
-        .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
     others = links(stage(rest, "other-pairs"), active, percent)
