@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-from llm_rows import documents
 
 from shapescreen.llm import batches, language_id, pii, secrets, toxicity
 
