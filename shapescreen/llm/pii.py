@@ -3,8 +3,9 @@
 The patterns (e-mail, network address, payment card, phone) give the base spans.  The field adds
 spans that they miss: its nodes are the document's tokens with a digit or an @; neighbouring nodes
 form a chain, and nodes that repeat or resemble each other, however far apart, share a skip edge.
-Loopy message passing over both kinds of edges spreads what is known about one mention to the
-others, so that a number that is plainly a phone in one place is one everywhere in the document.
+Loopy message passing over both kinds of edges, until the messages of a document settle, spreads
+what is known about one mention to the others, however many they are, so that a number that is
+plainly a phone in one place is one everywhere in the document.
 
 Base spans are observed during inference, and never given up.  The field learns its weights from
 the base labels of a bounded sample, by pseudo-likelihood.
@@ -30,8 +31,10 @@ LABELS = OUTSIDE + 1
 
 #: Posterior that an added span needs.
 CERTAIN = 0.9
-#: Rounds of message passing, at most; messages usually settle sooner.
-ROUNDS = 12
+#: Messages of a document have settled when none moves by more.
+SETTLED = 1e-3
+#: Rounds after which messages that still swing, which loops may cause, are damped more and more.
+ROUNDS = 1000
 #: Characters between chain neighbours at most.
 CHAIN = 24
 #: Hashed features of a node.
@@ -120,20 +123,24 @@ class Nodes:
         near = (self.text_of[left] == self.text_of[left + 1]) & (self.starts[left + 1] - self.ends[left] <= CHAIN)
         return np.stack([left[near], left[near] + 1], axis=1)
 
-    def skips(self) -> np.ndarray:
-        """Pairs of successive mentions of one key in a text; each mention joins the one before it,
-        so the edges of a key grow with its mentions, not with their pairs."""
-        last: dict[tuple, int] = {}
-        found = set()
+    def skips(self, known: np.ndarray | None = None) -> np.ndarray:
+        """Pairs of mentions of one key in a text: each mention joins the one before it, the key's
+        first and, of each kind in ``known``, the first that has it.  So any two mentions are at
+        most two edges apart, and the edges of a key grow with its mentions, not with their pairs."""
+        mentions: dict[tuple, list[int]] = {}
         for i, (text, token) in enumerate(zip(self.text_of.tolist(), self.tokens)):
             letters = re.sub(r"[^a-z0-9@]", "", token.lower())
             digits = re.sub(r"[^0-9]", "", token)
             for kind, key in ((0, letters), (1, digits)):
                 if len(key) >= LEAST_KEY:
-                    before = last.get((text, kind, key))
-                    if before is not None:
-                        found.add((before, i))
-                    last[text, kind, key] = i
+                    mentions.setdefault((text, kind, key), []).append(i)
+        labels = [OUTSIDE] * len(self.tokens) if known is None else known.tolist()
+        found = set()
+        for own in mentions.values():
+            found.update(zip(own, own[1:]))
+            hubs = {labels[i]: i for i in reversed(own) if labels[i] != OUTSIDE}
+            for hub in {own[0], *hubs.values()}:
+                found.update((min(hub, i), max(hub, i)) for i in own if i != hub)
         return np.array(sorted(found), np.int64).reshape(-1, 2)
 
 
@@ -230,8 +237,18 @@ class Field:
         self.skip += 2.0 * np.eye(LABELS)
         return self
 
-    def marginals(self, rows: list[np.ndarray], known: np.ndarray, chain: np.ndarray, skips: np.ndarray) -> np.ndarray:
-        """Beliefs by loopy sum-product with damping; known nodes (not OUTSIDE) are held."""
+    def marginals(
+        self,
+        rows: list[np.ndarray],
+        known: np.ndarray,
+        chain: np.ndarray,
+        skips: np.ndarray,
+        text_of: np.ndarray | None = None,
+    ) -> np.ndarray:
+        """Beliefs by loopy sum-product with damping; known nodes (not OUTSIDE) are held.
+
+        Each text goes on until its own messages settle, whatever else is in the batch.
+        """
         local = self.energies(rows)
         local[known != OUTSIDE] = -30.0
         held = np.flatnonzero(known != OUTSIDE)
@@ -247,17 +264,24 @@ class Field:
             [turn, 2 * len(chain) + np.concatenate([np.arange(len(skips)) + len(skips), np.arange(len(skips))])]
         ).astype(np.int64)
         messages = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
+        text = np.zeros(len(source), np.int64) if text_of is None else text_of[source]
+        live = np.arange(len(source))
+        rounds = 0
+        while len(live):
             belief = local.copy()
-            np.add.at(belief, target, messages)
-            out = (belief[source] - messages[turn])[:, :, None] + weights
+            np.add.at(belief, target[live], messages[live])
+            out = (belief[source[live]] - messages[turn[live]])[:, :, None] + weights[live]
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - messages).max(initial=0.0)
-            messages = 0.5 * messages + 0.5 * new
-            if moved < 1e-3:
-                break
+            # Halves at first; later less and less, so that the steps end.
+            step = 0.5 * min(1.0, 0.97 ** (rounds - ROUNDS))
+            change = step * (new - messages[live])
+            messages[live] += change
+            moved = np.zeros(int(text[live].max()) + 1)
+            np.maximum.at(moved, text[live], np.abs(change).max(axis=1))
+            live = live[moved[text[live]] > SETTLED / 2]
+            rounds += 1
         belief = local
         np.add.at(belief, target, messages)
         belief = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -270,7 +294,7 @@ class Field:
         added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         known = observed(nodes, base)
         if len(known):
-            belief = self.marginals(node_features(nodes, texts), known, nodes.chain(), nodes.skips())
+            belief = self.marginals(node_features(nodes, texts), known, nodes.chain(), nodes.skips(known), nodes.text_of)
             label, sure = belief.argmax(axis=1), belief.max(axis=1) >= CERTAIN
             before = -2
             for i in np.flatnonzero((known == OUTSIDE) & (label != OUTSIDE) & sure).tolist():

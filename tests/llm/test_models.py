@@ -124,6 +124,34 @@ def test_field_spreads_to_distant_mentions(corpus):
     assert field.find(["version 12.3 of 2024-01-01 has 4785 rows"])[0][1] == []
 
 
+def test_field_reaches_every_mention(corpus):
+    """One number is known by its first spelling only, or by its last; fifty others follow it."""
+    field = pii.train(corpus)
+    whole, variants = "call +1 (743) 555-3824 now", ["555-3824", "555.3824", "5553824"]
+    for first in (True, False):
+        rest = "".join(" word" * 12 + f" again {variants[i % 3]} then" for i in range(50))
+        text = whole + rest if first else rest[1:] + " or " + whole
+        (base, added), (_, alone) = field.find([text, "none 12 here"])
+        assert [k for k, _, _ in base] == [3]
+        assert [(k, text[a:b]) for k, a, b in added] == [(3, variants[i % 3]) for i in range(50)]
+        assert alone == []
+
+
+def test_messages_settle_along_a_chain():
+    """Without local evidence a chain's beliefs are exact: powers of the link's transition matrix."""
+    field = pii.Field()
+    field.skip = 4.0 * np.eye(pii.LABELS)
+    chain = np.stack([np.arange(49), np.arange(1, 50)], axis=1)
+    known = np.full(50, pii.OUTSIDE)
+    known[0] = 3
+    rows = [np.array([0], np.int32)] * 50
+    belief = field.marginals(rows, known, np.zeros((0, 2), np.int64), chain)
+    link = np.exp(field.skip)
+    link /= link.sum(axis=1, keepdims=True)
+    for hop in range(1, 50):
+        assert abs(belief[hop, 3] - np.linalg.matrix_power(link, hop)[3, 3]) < 0.02
+
+
 def test_pii_of_awkward_rows(awkward, clashing, nothing):
     field = pii.train(clashing)
     rows = {r.doc_id: r for r in pii.scan(awkward, field).collect()}
