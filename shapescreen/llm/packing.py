@@ -5,7 +5,8 @@ of full length are sequences already.  The others are dealt evenly, by hash, to
 ``cell_pieces``; a cell is packed alone by best fit in order of falling length.  Then moves,
 one-for-one and two-for-one exchanges empty the least filled sequences: each shifts tokens into a
 fuller sequence, so the sum of squared fills grows, which ends the search.  Sequences that stay
-loose are taken apart and packed once more, together with those of many other cells.
+loose are taken apart and dealt anew to as many cells as their own pieces need, again and again as
+long as that leaves fewer sequences and there is more than one cell to mix.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -30,8 +32,6 @@ from shapescreen.sources.store import stage
 
 #: Sequences under this share of the capacity are packed again with those of other cells.
 LOOSE = 0.95
-#: Cells whose loose sequences meet in one group.
-MEET = 256
 
 
 def by_rank(definition: str) -> tiktoken.Encoding | None:
@@ -288,8 +288,9 @@ def exchange(bins: list[list[int]], lengths: list[int], capacity: int) -> list[l
     return [b for b in bins if b]
 
 
-def pack_cells(pieces: DataFrame, cells: int, capacity: int, base: int) -> DataFrame:
-    """Pack the pieces of each cell; adds ``sequence_id, offset, fill``."""
+def pack_cells(pieces: DataFrame, cells: int, capacity: int, base: int, deal: int = 0) -> DataFrame:
+    """Pack the pieces of each cell, which are dealt otherwise for every ``deal``; adds
+    ``sequence_id, offset, fill``.  Sequences of cell n are numbered from ``base + n << 32``."""
     schema = pieces.schema
     fields = [f for f in schema.fields if f.name not in ("sequence_id", "offset", "fill")]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -304,7 +305,7 @@ def pack_cells(pieces: DataFrame, cells: int, capacity: int, base: int) -> DataF
             at = 0
             for i in items:
                 order.append(i)
-                sequence.append(base + (cell[0].as_py() << 32) + n)
+                sequence.append((base + cell[0].as_py() << 32) + n)
                 offset.append(at)
                 at += lengths[i]
             fill += [at] * len(items)
@@ -313,10 +314,16 @@ def pack_cells(pieces: DataFrame, cells: int, capacity: int, base: int) -> DataF
             group = group.append_column(name, pa.array(values, pa.int64()))
         return group
 
-    dealt = pieces.select(*names).withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)))
+    dealt = pieces.select(*names).withColumn("cell", F.pmod(F.xxhash64("row", F.lit(deal)), F.lit(cells)))
     return dealt.groupBy("cell").applyInArrow(run, f"{ddl}, sequence_id long, offset long, fill long")
 
 
+def _counts(packed: DataFrame) -> tuple[int, int]:
+    """Pieces and sequences of a packed table."""
+    n, sequences = packed.agg(F.count("*"), F.sum((F.col("offset") == 0).cast("long"))).first()
+    return n, sequences or 0
+
+
 def pack(
     docs: DataFrame,
     definition: str,
@@ -330,8 +337,8 @@ def pack(
 
     ``definition`` is the tokenizer's JSON.  Null text is empty: its one piece holds the end id.
     Rows that repeat a key are packed as documents of their own.  A document of exactly
-    ``capacity`` ids is one piece.  An empty table gives no rows.  ``cell_pieces`` bounds what one
-    task packs; cells multiply with the input.
+    ``capacity`` ids is one piece.  An empty table gives no rows.  ``cell_pieces`` is the mean
+    number of pieces that one call packs, in every pass; cells multiply with the pieces to pack.
     """
     pieces = stage(
         token_pieces(docs, definition, capacity, end_id, key, text).withColumn("row", F.monotonically_increasing_id()),
@@ -339,14 +346,26 @@ def pack(
     )
     part = pieces.filter(F.col("length") < capacity)
     cells = max(1, -(-part.count() // cell_pieces))
-    first = stage(pack_cells(part, cells, capacity, 0), "packed-cells")
-    loose = F.col("fill") < LOOSE * capacity
-    second = pack_cells(first.filter(loose), -(-cells // MEET), capacity, 1 << 61)
+    packed = [stage(pack_cells(part, cells, capacity, 0), "packed-cells")]
+    used, deal = cells, 0
+    while True:
+        under = packed[-1].filter(F.col("fill") < LOOSE * capacity)
+        n, before = _counts(under)
+        if before < 2:
+            break
+        cells, deal = -(-n // cell_pieces), deal + 1
+        again = stage(pack_cells(under, cells, capacity, used, deal), "packed-again")
+        used += cells
+        if _counts(again)[1] >= before:
+            break
+        packed[-1] = packed[-1].filter(F.col("fill") >= LOOSE * capacity)
+        packed.append(again)
+        if cells == 1:
+            break
     whole = pieces.filter(F.col("length") == capacity).select(
         *pieces.columns,
         (F.lit(1 << 62) + F.col("row")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
         F.col("length").alias("fill"),
     )
-    packed = first.filter(~loose).unionByName(second).unionByName(whole)
-    return packed.select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return reduce(DataFrame.unionByName, packed, whole).select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

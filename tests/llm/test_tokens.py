@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -100,6 +100,29 @@ def test_cells_meet_again(spark):
     assert got.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 512").count() == 0
 
 
+def test_long_documents_never_meet_in_one_cell(spark):
+    """All documents are over half a sequence, so that every sequence stays loose."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('a b c ', int(90 + id % 40)) AS text")
+    got = packing.pack(docs, tokenizer_definition(BYTES), capacity=512, cell_pieces=100).collect()
+    assert len({r.sequence_id for r in got}) == len(got) == 2000
+    assert max(Counter(r.sequence_id >> 32 for r in got).values()) < 200
+
+
+def test_loose_pieces_meet_again_while_that_helps(spark):
+    """Halves and rests that few cells can pair; no sequence number is used twice."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('a b c ', int(60 + pow(xxhash64(id) % 97, 2) % 97)) AS text")
+    got = packing.pack(docs, tokenizer_definition(BYTES), capacity=512, cell_pieces=60).collect()
+    assert sorted((r.doc_id, r.piece) for r in got) == sorted({(r.doc_id, r.piece) for r in got})
+    fills = defaultdict(list)
+    for r in got:
+        fills[r.sequence_id].append((r.offset, r.length))
+    for parts in fills.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= 512
+    assert max(Counter(r.sequence_id >> 32 for r in got).values()) < 150
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_exchange_keeps_items_and_never_adds_bins(seed):
     draw = random.Random(seed)
