@@ -401,16 +401,16 @@ def gmm1_lec_score(spark, sf):
 
 
 def gmm_fit(spark, sf):
-    return gmm.components(gmm.fit(training_rows(_dataset(spark, sf)), (1, 3)))
+    return gmm.components(gmm.fit(training_rows(_dataset(spark, sf)), gmm.COMPONENTS))
 
 
 def gmm_score(spark, sf):
     data = _dataset(spark, sf)
-    return _model_scores(gmm.score(data, gmm.fit(training_rows(data), (1, 3))))
+    return _model_scores(gmm.score(data, gmm.fit(training_rows(data), gmm.COMPONENTS)))
 
 
 def iforest_fit(spark, sf):
-    return iforest.nodes(iforest.fit(training_rows(_dataset(spark, sf)), (10,)))
+    return iforest.nodes(iforest.fit(training_rows(_dataset(spark, sf)), iforest.TREES))
 
 
 def iforest_score(spark, sf):
@@ -531,35 +531,37 @@ def best_param(spark, sf):
     return experiment.best_param(summary, "auc", FEATURE_PARAMS)
 
 
-def _xval(name, params, folds, train_mode="all", **options):
+def _cross_validated(spark, sf, family, train_mode="all"):
+    """The split and the figures of a family's whole grid, folds and portions."""
+    data = experiment.split(embeddings.molecules(spark, sf), sampling.PORTIONS, family.folds)
+    return data, experiment.xval_summary(experiment.cross_validate(data, family, train_mode=train_mode))
+
+
+def _xval(name, train_mode="all"):
     def query(spark, sf):
-        data = experiment.split(embeddings.molecules(spark, sf), (1.0,), folds)
-        figures = experiment.cross_validate(data, FAMILIES[name], params, folds, train_mode, **options)
-        return experiment.xval_summary(figures)
+        return _cross_validated(spark, sf, FAMILIES[name], train_mode)[1]
 
     return query
 
 
-gmm_xval = _xval("gmm", gmm.COMPONENTS, 5)
-gmm_lec_xval = _xval("gmm", gmm.COMPONENTS, 5, "lec")
-iforest_xval = _xval("iforest", iforest.TREES, 5)
-mlp_xval = _xval("mlp", mlp.HIDDEN, 3)
-ocsvm_xval = _xval("ocsvm", (ocsvm.NU_PERCENT,), 3)
+gmm_xval = _xval("gmm")
+gmm_lec_xval = _xval("gmm", "lec")
+iforest_xval = _xval("iforest")
+mlp_xval = _xval("mlp")
+ocsvm_xval = _xval("ocsvm")
 
 
 def final_eval(spark, sf):
-    result = experiment.run(
-        embeddings.molecules(spark, sf), FAMILIES["gmm_auc"], (1.0, 0.5, 10.0), (1, 3), 3
-    )
+    result = experiment.run(embeddings.molecules(spark, sf), FAMILIES["gmm_auc"])
     columns = ("auc", "auc_rank", "ef_1", "ef_5")
     return _rounded(result.final.drop("elapsed_s"), 6, *columns)
 
 
 def refit_model(spark, sf):
-    molecules = embeddings.molecules(spark, sf)
-    data = experiment.split(molecules, (1.0,), 3)
-    best = mols.targets(molecules).select("target", F.lit(1.0).alias("portion"), F.lit(1).alias("best_param"))
-    return gmm.components(experiment.refit(data, FAMILIES["gmm"], best))
+    family = FAMILIES["gmm"]
+    data, summary = _cross_validated(spark, sf, family)
+    best = stage(experiment.best_param(stage(summary, "xval"), family.metric, family.params), "best")
+    return gmm.components(experiment.refit(data, family, best))
 
 
 _QUERIES = (
