@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from check_oracle import session
+from check_oracle import SMALL, session
 
 from shapescreen.session import ship_package
 
@@ -19,9 +19,6 @@ def spark():
     return spark
 
 
-SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def molecules(spark):
     from shapescreen.sources import embeddings

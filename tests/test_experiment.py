@@ -97,7 +97,7 @@ def test_whole_experiment(spark, molecules, name, params, options):
 
 
 def test_screening_results_for_several_descriptor_types(spark):
-    from conftest import SMALL
+    from check_oracle import SMALL
 
     from shapescreen.operators.molecules import union_frames
     from shapescreen.sources import embeddings

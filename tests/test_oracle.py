@@ -1,8 +1,7 @@
 """Every query with an SQL form agrees with it; the others return rows."""
 
 import pytest
-from check_oracle import connect, differences
-from conftest import SMALL
+from check_oracle import SMALL, connect, differences
 
 import __spark_entry__ as entry
 
