@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapescreen.llm import batches, bpe, exact_dedup, language_id, ngram_join, packing, pii, secrets, sharding, topk, toxicity
+from shapescreen.llm import batches, bpe, exact_dedup, language_id, merkle, ngram_join, packing, pii, secrets, sharding, topk, toxicity
 from shapescreen.llm.oracle import oracle_sql
 from shapescreen.session import ship_package
 
@@ -85,5 +85,20 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.cluster(table(spark, folder, "documents"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    without_breaks = F.when(batches.remainder("doc_id", 2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    found = merkle.manifest(table(spark, folder, "documents"), {"text": without_breaks})
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
