@@ -175,7 +175,7 @@ def manifest(
         "leaves",
     )
     order = ["source", "key", "leaf"]
-    rows = in_ranges(leaves, [F.col(c) for c in order], "leaf-ranges")
+    rows = in_ranges(leaves, order, "leaf-ranges")
     counts = rows.groupBy("source").agg(F.count("*").alias("leaves"))
     per_block = fanout**block_levels
     named = numbered(counts.withColumn("blocks", divided(F.col("leaves") - 1, per_block) + 1), ["source"], "sources")
@@ -276,7 +276,7 @@ def levels_of(count: int | None, fanout: int) -> int:
 
 def firsts(sources: DataFrame) -> DataFrame:
     """``first``: blocks of all sources before each one, by number of the source."""
-    rows = in_ranges(sources, [F.col("nth")], "source-ranges").withColumn("whole", F.lit(0))
+    rows = in_ranges(sources, ["nth"], "source-ranges").withColumn("whole", F.lit(0))
     starts = before_parts(rows, "whole", {"blocks": F.col("blocks")}).select("part", "blocks_before")
     earlier = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     return (

@@ -78,6 +78,45 @@ SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reached r WHERE r.a = sized.
 """
 
 
+# The level of the water: sources fill up one after another, the smallest for its weight first.
+MIXING = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS size,
+           [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+    FROM sized GROUP BY source
+), filling AS (
+    SELECT *, row_number() OVER filled AS nth,
+           coalesce(sum(2 * size) OVER (filled ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS given,
+           sum(weight) OVER (filled ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS weighing,
+           1.5::DOUBLE * (sum(size) OVER ())::DOUBLE AS whole
+    FROM sources WINDOW filled AS (ORDER BY 2 * size / weight, source)
+), level AS (
+    SELECT (whole - given) / weighing AS level FROM filling
+    WHERE (whole - given) / weighing * weight < 2 * size ORDER BY nth LIMIT 1
+), wanted AS (
+    SELECT source, size, least(coalesce((SELECT level FROM level), 0) * weight, (2 * size)::DOUBLE) AS target FROM sources
+), goals AS (
+    SELECT *, floor(target + 0.5)::BIGINT AS goal FROM wanted
+), turns AS (
+    SELECT *, CASE WHEN size > 0 THEN goal // size ELSE 0 END AS turns,
+           goal - CASE WHEN size > 0 THEN goal // size ELSE 0 END * size AS rest
+    FROM goals
+), blocks AS (
+    SELECT *, least(512, size - 512 * block) AS words, ('0x' || md5('0:' || doc_id || ':' || block)[1:15])::BIGINT AS place
+    FROM (SELECT *, unnest(range(greatest(1, (size + 511) // 512))) AS block FROM sized)
+), laid AS (
+    SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place, doc_id, block
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM blocks
+)
+SELECT doc_id, l.size, t.size AS source_size, target,
+       sum(turns * words + greatest(0, least(words, rest - before)))::BIGINT AS taken
+FROM laid l JOIN turns t ON l.source IS NOT DISTINCT FROM t.source
+GROUP BY doc_id, l.size, t.size, target
+"""
+
 # Levels of both trees by recursion; each row's run of siblings is looked up level by level.
 MERKLE = r"""
 WITH RECURSIVE table256 AS (
@@ -144,4 +183,11 @@ JOIN (SELECT level, h FROM upper_levels WHERE n = 1) u ON u.level = r.level
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP, "op6_topk": TOPK, "op8_sharding": SHARDING, "op10_ngram_join": NGRAM_JOIN, "op13_merkle": MERKLE}
+    return {
+        "op1_exact_dedup": EXACT_DEDUP,
+        "op6_topk": TOPK,
+        "op8_sharding": SHARDING,
+        "op10_ngram_join": NGRAM_JOIN,
+        "op11_mixing": MIXING,
+        "op13_merkle": MERKLE,
+    }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapescreen.llm import batches, bpe, exact_dedup, language_id, merkle, ngram_join, packing, pii, secrets, sharding, topk, toxicity
+from shapescreen.llm import batches, bpe, exact_dedup, language_id, merkle, mixing, ngram_join, packing, pii, secrets, sharding, topk, toxicity
 from shapescreen.llm.oracle import oracle_sql
 from shapescreen.session import ship_package
 
@@ -85,6 +85,11 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.cluster(table(spark, folder, "documents"))
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+    return mixing.taken_words(found).withColumnRenamed("key", "doc_id")
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     without_breaks = F.when(batches.remainder("doc_id", 2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)

@@ -33,9 +33,9 @@ def before_parts(rows: DataFrame, group: str, sums: dict[str, Column]) -> DataFr
     )
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """The rows with ``nth``, counted from 0 in the given order over the whole table."""
-    parts = in_ranges(rows, [F.col(c) for c in order], name).withColumn("whole", F.lit(0))
+    parts = in_ranges(rows, order, name).withColumn("whole", F.lit(0))
     starts = before_parts(parts, "whole", {"rows": F.lit(1)})
     running = Window.partitionBy("part").orderBy(*order)
     return (
