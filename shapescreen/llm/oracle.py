@@ -117,6 +117,47 @@ FROM laid l JOIN turns t ON l.source IS NOT DISTINCT FROM t.source
 GROUP BY doc_id, l.size, t.size, target
 """
 
+# Near words by deletion: two words give the same rest at the same place, or one is the other's rest.
+VARIANTS = r"""
+WITH RECURSIVE table256 AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(
+        range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS entries
+), runs AS (
+    SELECT doc_id, r, count(*) AS c
+    FROM (SELECT doc_id, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents)
+    WHERE length(r) >= 6 GROUP BY ALL
+), hashed AS (
+    SELECT r, c, xor(list_reduce(
+        list_transform(regexp_extract_all(hex(encode(doc_id || ':' || r)), '..'), lambda h: ('0x' || h)::BIGINT),
+        lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+    FROM runs, table256
+), words AS MATERIALIZED (
+    SELECT CASE WHEN h % 199 = 0 THEN r[1:(h % length(r))] || r[(h % length(r)) + 2:] ELSE r END AS word, sum(c)::BIGINT AS n
+    FROM hashed GROUP BY 1 HAVING sum(c) >= 5 AND length(word) >= 6
+), cut AS (
+    SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM words, unnest(range(length(word))) AS u(i)
+), near AS (
+    SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION
+    SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION
+    SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), counted AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS best, max(n) AS best_n FROM near GROUP BY word
+), formed AS MATERIALIZED (
+    SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form,
+           CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+    FROM words w LEFT JOIN counted USING (word)
+), followed AS (
+    SELECT word, word AS root, form AS next FROM formed
+    UNION ALL
+    SELECT f.word, f.next, g.form FROM followed f JOIN formed g ON f.next = g.word
+)
+SELECT word, form, root, n, n_near, form_n
+FROM formed JOIN (SELECT word, root FROM followed WHERE next IS NULL) USING (word)
+"""
+
 # Levels of both trees by recursion; each row's run of siblings is looked up level by level.
 MERKLE = r"""
 WITH RECURSIVE table256 AS (
@@ -189,5 +230,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_sharding": SHARDING,
         "op10_ngram_join": NGRAM_JOIN,
         "op11_mixing": MIXING,
+        "op12_variants": VARIANTS,
         "op13_merkle": MERKLE,
     }

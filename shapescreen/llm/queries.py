@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapescreen.llm import batches, bpe, exact_dedup, language_id, merkle, mixing, ngram_join, packing, pii, secrets, sharding, topk, toxicity
+from shapescreen.llm import batches, bpe, exact_dedup, language_id, merkle, mixing, ngram_join, packing, pii, secrets, sharding, topk, toxicity, variants
 from shapescreen.llm.oracle import oracle_sql
 from shapescreen.session import ship_package
 
@@ -90,6 +90,10 @@ def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(found).withColumnRenamed("key", "doc_id")
 
 
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "documents"))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     without_breaks = F.when(batches.remainder("doc_id", 2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
