@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Folders made for local sessions that name none, by application.
 _local_folders: dict[str, str] = {}
+# Names of the tables that this process has staged.
+_staged: set[str] = set()
 
 
 def stage_folder(spark: SparkSession) -> str:
@@ -34,11 +36,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    name = f"{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}"
     df.write.parquet(path)
+    _staged.add(name)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that no later plan reads, so that they don't lie beside their successors."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName() in _staged:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class StagedTable:
     """A staged table that is appended to in several steps."""
 
