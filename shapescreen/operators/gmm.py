@@ -1,7 +1,7 @@
 """Gaussian mixtures: one per target and data set, or one per molecule.
 
-Expectation-maximisation runs for all models of a wave at once; each task adds
-up responsibilities, weighted sums and weighted products over its rows.
+Expectation-maximisation works on sums of responsibilities, weighted rows and weighted products,
+inside a task or over all tasks that hold rows of a data set.
 """
 
 from __future__ import annotations
@@ -11,22 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shapescreen.functions.packed import matrix, nested
-from shapescreen.operators.models import (
-    Model,
-    ModelTable,
-    accumulate,
-    blocks,
-    model_grid,
-    row_counts,
-    score_molecules,
-    trains,
-    waves,
-)
+from shapescreen.operators.models import Model, Pieces, score_molecules
+from shapescreen.operators.training import Trainer, train
 
 # The component grid and the solver defaults of the measured models.
 COMPONENTS = (1, 10, 50, 100, 1000)
@@ -154,88 +145,48 @@ def fit(
     seed: int = 0,
     chosen: dict | None = None,
     start_rows: int = START_ROWS,
+    task_data: int | None = None,
 ) -> DataFrame:
     """Fit mixtures for all targets, portions, component counts and folds of training ``rows``.
 
     A mixture starts from ``max(start_rows, 4 * components)`` random conformers of each fold; all
     conformers take part in every step after that.  The start of a model depends on nothing but
     its own data, components and seed.  A model with no more rows than components is listed as skipped, one whose
-    covariance breaks down as failed.
+    covariance breaks down as failed.  ``task_data``: bytes of rows up to which a data set is trained
+    on inside a task (:mod:`training`).
     """
+    trainer = mixture_trainer(covariance, tol, max_iter, seed, start_rows)
+    return train(rows, components, folds, trainer, chosen, task_data)
+
+
+def mixture_trainer(
+    covariance: str = "full",
+    tol: float = TOLERANCE,
+    max_iter: int = MAX_ITER,
+    seed: int = 0,
+    start_rows: int = START_ROWS,
+) -> Trainer:
     full = covariance == "full"
-    counts = row_counts(rows)
-    data = blocks(rows, counts).persist()
-    table = ModelTable(rows, "gmm")
-    grid = model_grid(counts, components, folds, chosen)
-    table.append([m for m in grid if m.n_rows <= m.param], lambda m: None)
-    todo = [m for m in grid if m.n_rows > m.param]
     per_component = lambda width: 8 * (2 * width * width if full else 2 * width) + 8 * (width + 1)
-    for wave in waves(todo, lambda m: m.param * per_component(m.width)):
-        _initialise(rows, wave, full, seed, start_rows)
-        live = [m for m in wave if not m.failed]
-        for iteration in range(1, max_iter + 1):
-            if not live:
-                break
-            sums = accumulate(data, live, _expectation)
-            live = [m for m, s in zip(live, sums) if not _update(m, s, full, tol, iteration)]
-        table.append(wave, lambda m: None if m.failed else _encode(m.state))
-    data.unpersist()
-    return table.read()
-
-
-def _initialise(rows: DataFrame, models: list[Model], full: bool, seed: int, start_rows: int) -> None:
-    """Start every model from a bounded random sample of its data set, one group per data set.
-
-    The sample is as large as the largest start asks for; each model takes the first rows of it
-    that its own start wants, so it does not depend on the other models.
-    """
-    wanted: dict[tuple, list] = {}
-    for i, m in enumerate(models):
-        wanted.setdefault((m.target, m.portion), []).append((i, m.param, m.fold))
-    own_size = lambda k: max(start_rows, 4 * k)
-    size = own_size(max(m.param for m in models))
-    conformers = rows.select(
-        "target",
-        F.col("portion").cast("double").alias("portion"),
-        F.col("fold").cast("int").alias("fold"),
-        "mol_id",
-        F.explode("conformers").alias("c"),
-    ).select(
-        "target",
-        "portion",
-        "fold",
-        F.xxhash64("target", "mol_id", "c.conf_id", F.lit(seed)).alias("u"),
-        "c.features",
-    )
-    # Spark keeps only ``size`` rows per fold in each task before the shuffle.
-    order = Window.partitionBy("target", "portion", "fold").orderBy("u")
-    sample = conformers.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= size)
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["u", "rn"])
-        x, fold = np.stack(group["features"].to_numpy()), group["fold"].to_numpy()
-        nth = group["rn"].to_numpy()
-        out = []
-        for i, k, held_out in wanted.get((key[0], key[1]), ()):
-            own = x[trains(fold, held_out) & (nth <= own_size(k))]
-            try:
-                mix = _start(own, k, full, seed + 1)
-            except np.linalg.LinAlgError:
-                continue
-            out.append((i, _encode(mix), mix["shift"].tobytes()))
-        return pd.DataFrame(out, columns=["model", "mix", "shift"])
 
-    started = sample.groupBy("target", "portion").applyInPandas(
-        run, "model int, mix binary, shift binary"
+    def start(model: Model, sample: np.ndarray, _) -> None:
+        mix = _start(sample, model.param, full, seed + 1)
+        if not np.isfinite(mix["root"]).all():
+            raise np.linalg.LinAlgError("a start that is not finite")
+        model.state = mix | {"objective": -np.inf, "n_iter": 0}
+
+    return Trainer(
+        "gmm",
+        start,
+        _expectation,
+        lambda model, sums, iteration: _update(model, sums, full, tol, iteration),
+        lambda model: _encode(model.state),
+        lambda model: model.param * per_component(model.width),
+        range(1, max_iter + 1),
+        sample=lambda model: max(start_rows, 4 * model.param),
+        seed=seed,
+        skips=lambda model: model.n_rows <= model.param,
     )
-    for model in models:
-        model.fail()
-    for row in started.collect():
-        models[row["model"]].state = decode(row["mix"]) | {
-            "shift": np.frombuffer(row["shift"]),
-            "objective": -np.inf,
-            "n_iter": 0,
-        }
 
 
 def _expectation(state: dict, x: np.ndarray, y: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -256,6 +207,9 @@ def _expectation(state: dict, x: np.ndarray, y: np.ndarray, key: np.ndarray) ->
 
 def _update(model: Model, sums: np.ndarray, full: bool, tol: float, iteration: int) -> bool:
     """Maximisation step; true when the mean log likelihood gains less than ``tol`` or it failed."""
+    if not np.isfinite(sums).all():
+        model.fail()
+        return True
     k, d = model.state["mu"].shape
     n, first, second = sums[:k], sums[k : k + k * d], sums[k + k * d : -2]
     likelihood = sums[-2] / sums[-1]
@@ -276,9 +230,24 @@ def _update(model: Model, sums: np.ndarray, full: bool, tol: float, iteration: i
     return abs(likelihood - before) < tol
 
 
+def _cut(payload: bytes, limit: int) -> list[bytes]:
+    """Ranges of components, with their weights in the whole mixture."""
+    flat = np.frombuffer(payload)
+    k, d, dims = (int(v) for v in flat[:3])
+    w, mu, s = flat[3 : 3 + k], flat[3 + k : 3 + k + k * d].reshape(k, d), flat[3 + k + k * d :].reshape(k, -1)
+    step = max(1, limit * k // len(payload))
+    ranges = (slice(i, i + step) for i in range(0, k, step))
+    shape = lambda v: v.reshape((-1, d, d) if dims == 3 else (-1, d))
+    return [_encode({"w": w[r], "mu": mu[r], "s": shape(s[r])}) for r in ranges]
+
+
+# Densities of parts of a mixture add up.
+_PIECES = Pieces(_cut, row_log_likelihood, lambda parts: np.logaddexp.reduce(parts), lambda whole: whole)
+
+
 def score(dataset: DataFrame, models: DataFrame) -> DataFrame:
     """Mean log density of each molecule's conformers."""
-    return score_molecules(dataset, models, decode, row_log_likelihood, "mean")
+    return score_molecules(dataset, models, decode, row_log_likelihood, "mean", _PIECES)
 
 
 def components(models: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Training and scoring of many models in shared Spark jobs.
 
 A model belongs to ``(target, portion, param, fold)``.  Fold -1 trains on all
-rows of its data set, fold f on all rows outside fold f.  Data stay where they
-are; tasks get the current parameters of the models and return sums, so a
-training step is one pass over the data however many models it serves.  Models
-go out in waves whose parameters fit a fixed number of bytes.
+rows of its data set, fold f on all rows outside fold f.  :mod:`training` says how
+models learn; here are the grid of models, passes over data sets too large for a
+task, the stored model tables, and scoring.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +21,7 @@ from pyspark.sql import types as T
 
 from shapescreen.functions.packed import by_key, matrix, pack
 from shapescreen.operators.molecules import lowest_energy
+from shapescreen.session import bound_batches
 from shapescreen.sources.store import StagedTable
 
 # Parameters sent to the tasks at once.
@@ -164,17 +163,15 @@ def blocks(rows: DataFrame, counts: pd.DataFrame) -> DataFrame:
                     part.column(name).to_numpy(zero_copy_only=False), counts
                 )
                 row = {
-                    "target": [target],
-                    "portion": [portion],
-                    "width": [x.shape[1]],
+                    "target": pa.array([target], batch.schema.field("target").type),
+                    "portion": pa.array([portion]),
+                    "width": pa.array([x.shape[1]], pa.int32()),
                     "x": [np.ascontiguousarray(x, dtype=np.float64).tobytes()],
                     "y": [(per_molecule("y") * ACTIVE_VALUE).tobytes()],
                     "fold": [per_molecule("fold").astype(np.int32).tobytes()],
                     "key": [keys.astype(np.int64).tobytes()],
                 }
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame(row).astype({"width": "int32"}), preserve_index=False
-                )
+                yield pa.RecordBatch.from_pydict(row)
 
     return flat.mapInArrow(run, schema)
 
@@ -268,6 +265,13 @@ def model_schema(target: T.StructField) -> T.StructType:
     )
 
 
+def model_row(m: Model, payload: bytes | None) -> tuple:
+    """A model as a row of its table."""
+    status = m.state.get("status", "skipped") if payload is None else "ok"
+    objective = float(m.state.get("objective", float("nan")))
+    return (m.target, m.portion, m.param, m.fold, m.n_rows, status, int(m.state.get("n_iter", 0)), objective, payload)
+
+
 class ModelTable:
     """Collects trained models wave by wave in a stored table."""
 
@@ -277,22 +281,7 @@ class ModelTable:
         self.table = StagedTable(self.spark, name)
 
     def append(self, models: list[Model], payload: Callable[[Model], bytes | None]) -> None:
-        rows = []
-        for m in models:
-            blob = payload(m)
-            rows.append(
-                (
-                    m.target,
-                    m.portion,
-                    m.param,
-                    m.fold,
-                    m.n_rows,
-                    m.state.get("status", "skipped") if blob is None else "ok",
-                    int(m.state.get("n_iter", 0)),
-                    float(m.state.get("objective", float("nan"))),
-                    blob,
-                )
-            )
+        rows = [model_row(m, payload(m)) for m in models]
         if rows:
             self.table.append(self.spark.createDataFrame(rows, self.schema).coalesce(1))
 
@@ -304,6 +293,26 @@ class ModelTable:
 
 # ---- scoring -----------------------------------------------------------------------
 
+#: Bytes of candidates scored together, and of a model that a task holds at once.
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
+#: Decoded models a task keeps.
+_DECODED = 8
+
+
+@dataclass
+class Pieces:
+    """How a model is scored in parts.
+
+    ``cut`` divides a payload into payloads of at most so many bytes; ``part`` gives an array for the
+    rows from one of them, perhaps with more numbers behind; ``merge`` joins the arrays of all parts
+    and ``finish`` makes scores of the result.
+    """
+
+    cut: Callable[[bytes, int], list[bytes]]
+    part: Callable[[object, np.ndarray], np.ndarray]
+    merge: Callable[[list[np.ndarray]], np.ndarray]
+    finish: Callable[[np.ndarray], np.ndarray]
+
 
 def score_molecules(
     dataset: DataFrame,
@@ -311,21 +320,53 @@ def score_molecules(
     decode: Callable[[bytes], object],
     row_scores: Callable[[object, np.ndarray], np.ndarray],
     reduce: str = "max",
+    pieces: Pieces | None = None,
 ) -> DataFrame:
     """Score each molecule with the models of its target, portion and fold.
 
-    A molecule's score is the ``max``, ``min`` or ``mean`` of its conformers' scores.  The
-    molecule is one row, so nothing is shuffled.
+    A molecule's score is the ``max``, ``min`` or ``mean`` of its conformers' scores.  Molecules are
+    packed into chunks of bounded size where they lie, in one scan, and joined with the models by
+    Spark, which broadcasts them where they are small.  Models of more than SHARD_BYTES are cut; the
+    parts of a chunk's scores meet by chunk.
     """
     if reduce not in REDUCTIONS:
         raise ValueError(f"reduce is one of {', '.join(REDUCTIONS)}")
-    trained = models.filter(F.col("status") == "ok")
-    sizes = (
-        trained.groupBy("target", "portion", "param", "fold")
-        .agg(F.sum(F.length("payload")).alias("bytes"))
-        .orderBy("target", "portion", "fold", "param")
-        .collect()
+    bound_batches(dataset.sparkSession)
+    key = ["target", "portion", "fold"]
+    trained = models.filter(F.col("status") == "ok").select(*key, "param", "payload")
+    chunks = _chunks(dataset)
+    schema = T.StructType(
+        [
+            chunks.schema["target"],
+            T.StructField("portion", T.DoubleType()),
+            T.StructField("param", T.IntegerType()),
+            T.StructField("fold", T.IntegerType()),
+            T.StructField("mol_id", chunks.schema["ids"].dataType.elementType),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("truth", T.BooleanType()),
+        ]
+    )
+    largest = trained.agg(F.max(F.length("payload"))).first()[0] if pieces else 0
+    if (largest or 0) <= SHARD_BYTES:
+        return chunks.join(trained, key).mapInArrow(_scorer(decode, row_scores, reduce), schema)
+    parts = T.StructType(
+        [
+            *(f for f in chunks.schema.fields if f.name not in ("values", "width")),
+            T.StructField("param", T.IntegerType()),
+            T.StructField("shard", T.IntegerType()),
+            T.StructField("part", T.BinaryType()),
+        ]
     )
+    shards = trained.mapInArrow(
+        _cutter(pieces.cut, SHARD_BYTES),
+        T.StructType([*trained.schema.fields, T.StructField("shard", T.IntegerType())]),
+    )
+    scored = chunks.join(shards, key).mapInArrow(_part_scorer(decode, pieces.part, parts.names), parts)
+    return scored.groupBy(*key, "param", "chunk").applyInArrow(_merger(pieces, reduce, schema.names), schema)
+
+
+def _chunks(dataset: DataFrame) -> DataFrame:
+    """Molecules with conformers, packed: one row per chunk of a target, portion and fold."""
     candidates = dataset.select(
         "target",
         F.col("portion").cast("double").alias("portion"),
@@ -333,70 +374,136 @@ def score_molecules(
         "mol_id",
         F.col("active").alias("truth"),
         F.col("conformers.features").alias("rows"),
-    )
+    ).filter(F.size("rows") > 0)
     schema = T.StructType(
         [
-            candidates.schema["target"],
-            T.StructField("portion", T.DoubleType()),
-            T.StructField("param", T.IntegerType()),
-            T.StructField("fold", T.IntegerType()),
-            candidates.schema["mol_id"],
-            T.StructField("score", T.DoubleType()),
-            candidates.schema["truth"],
+            *(candidates.schema[c] for c in ("target", "portion", "fold")),
+            T.StructField("chunk", T.LongType()),
+            T.StructField("ids", T.ArrayType(candidates.schema["mol_id"].dataType)),
+            T.StructField("truth", T.ArrayType(T.BooleanType())),
+            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("width", T.IntegerType()),
+            T.StructField("values", T.BinaryType()),
         ]
     )
-    spark = dataset.sparkSession
-    result = spark.createDataFrame([], schema)
-    all_waves = list(waves(sizes, lambda r: r["bytes"]))
-    for i, wave in enumerate(all_waves):
-        keys = spark.createDataFrame(
-            [(r["target"], r["portion"], r["param"], r["fold"]) for r in wave],
-            T.StructType([models.schema[c] for c in ("target", "portion", "param", "fold")]),
-        )
-        held: dict[tuple, list] = {}
-        for m in trained.join(keys, ["target", "portion", "param", "fold"]).toArrow().to_pylist():
-            held.setdefault((m["target"], m["portion"], m["fold"]), []).append((m["param"], m["payload"]))
-        rows = candidates
-        if len(all_waves) > 1:
-            rows = candidates.filter(F.col("target").isin(sorted({r["target"] for r in wave})))
-        part = rows.mapInArrow(
-            _scorer(spark.sparkContext.broadcast(held), decode, row_scores, reduce), schema
-        )
-        result = part if i == 0 else result.unionByName(part)
-    return result
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            groups = pack(batch, ["target", "portion", "fold"], "mol_id", "rows")
+            for name, index in by_key(batch, ["target", "portion", "fold"]):
+                group, truth, at = groups[name], batch.column("truth").take(pa.array(index)), 0
+                for piece in group.pieces(max(1, CHUNK_BYTES // (8 * max(1, group.values.shape[1])))):
+                    n = len(piece)
+                    counts = np.diff(np.append(piece.starts, len(piece.values)))
+                    one = [
+                        *([x] for x in name),
+                        [chunk],
+                        [piece.ids.to_pylist()],
+                        [truth.slice(at, n).to_pylist()],
+                        [counts.astype(np.int32)],
+                        [piece.values.shape[1]],
+                        [np.ascontiguousarray(piece.values, np.float64).tobytes()],
+                    ]
+                    kinds = [batch.schema.field("target").type, pa.float64(), pa.int32(), pa.int64()]
+                    kinds += [pa.list_(batch.schema.field("mol_id").type), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+                    kinds += [pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(one, kinds)], schema.names)
+                    chunk, at = chunk + 1, at + n
+
+    return candidates.mapInArrow(run, schema)
+
+
+def _rows_of(row: dict) -> np.ndarray:
+    return np.frombuffer(row["values"]).reshape(-1, row["width"])
+
+
+def _decoder(decode: Callable[[bytes], object]):
+    """Decode with a few models kept; equal payloads are one model."""
+    held: dict[bytes, object] = {}
+
+    def get(payload: bytes):
+        if payload not in held:
+            while len(held) >= _DECODED:
+                held.pop(next(iter(held)))
+            held[payload] = decode(payload)
+        return held[payload]
+
+    return get
+
+
+def _per_molecule(scores: np.ndarray, counts: np.ndarray, reduce: str) -> np.ndarray:
+    starts = np.cumsum(counts) - counts
+    found = REDUCTIONS[reduce].reduceat(scores, starts)
+    return found / counts if reduce == "mean" else found
+
+
+def _result(row: dict, scores: np.ndarray, reduce: str, names: list[str], id_type: pa.DataType, target_type: pa.DataType):
+    n = len(row["ids"])
+    same = lambda c, kind: pa.array([row[c]] * n, kind)
+    per_molecule = _per_molecule(scores, np.array(row["counts"]), reduce)
+    return [
+        same("target", target_type),
+        same("portion", pa.float64()),
+        same("param", pa.int32()),
+        same("fold", pa.int32()),
+        pa.array(row["ids"], id_type),
+        pa.array(per_molecule),
+        pa.array(row["truth"], pa.bool_()),
+    ]
+
+
+def _types(schema: pa.Schema) -> tuple[pa.DataType, pa.DataType]:
+    return schema.field("ids").type.value_type, schema.field("target").type
 
 
-def _scorer(shared, decode, row_scores, reduce):
+def _scorer(decode, row_scores, reduce):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded: dict[tuple, object] = {}
+        get = _decoder(decode)
+        names = ["target", "portion", "param", "fold", "mol_id", "score", "truth"]
         for batch in batches:
-            filled = batch.filter(pc.greater(batch.column("rows").value_lengths(), 0))
-            groups = pack(filled, ["target", "portion", "fold"], "mol_id", "rows")
-            for key, index in by_key(filled, ["target", "portion", "fold"]):
-                group = groups[key]
-                truth = filled.column("truth").take(pa.array(index))
-                counts = np.diff(np.append(group.starts, len(group.values)))
-                for param, payload in shared.value.get(key, ()):
-                    if (key, param) not in decoded:
-                        decoded[key, param] = decode(payload)
-                    scores = row_scores(decoded[key, param], group.values)
-                    per_molecule = REDUCTIONS[reduce].reduceat(scores, group.starts)
-                    if reduce == "mean":
-                        per_molecule = per_molecule / counts
-                    n = len(group)
-                    repeat = lambda value, kind: pa.array([value] * n, kind)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            filled.column("target").take(pa.array(index)),
-                            repeat(float(key[1]), pa.float64()),
-                            repeat(int(param), pa.int32()),
-                            repeat(int(key[2]), pa.int32()),
-                            group.ids,
-                            pa.array(per_molecule),
-                            truth,
-                        ],
-                        ["target", "portion", "param", "fold", "mol_id", "score", "truth"],
-                    )
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                scores = row_scores(get(row["payload"]), _rows_of(row))
+                yield pa.RecordBatch.from_arrays(_result(row, scores, reduce, names, *_types(batch.schema)), names)
+
+    return run
+
+
+def _cutter(cut, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("payload")
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                for shard, payload in enumerate(cut(one.column(place)[0].as_py(), limit)):
+                    columns = [pa.array([payload], c.type) if k == place else c for k, c in enumerate(one.columns)]
+                    columns.append(pa.array([shard], pa.int32()))
+                    yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "shard"])
+
+    return run
+
+
+def _part_scorer(decode, part, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = _decoder(decode)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                row = one.to_pylist()[0]
+                found = part(get(row["payload"]), _rows_of(row)).astype(np.float64).tobytes()
+                columns = {c: one.column(c) for c in names if c != "part"} | {"part": pa.array([found], pa.binary())}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return run
+
+
+def _merger(pieces: Pieces, reduce: str, names: list[str]):
+    def run(group: pa.Table) -> pa.Table:
+        shards = group.sort_by("shard")
+        parts = [np.frombuffer(p) for p in shards.column("part").to_pylist()]
+        row = group.slice(0, 1).drop(["part"]).to_pylist()[0]
+        return pa.table(_result(row, pieces.finish(pieces.merge(parts)), reduce, names, *_types(group.schema)), names=names)
 
     return run
 

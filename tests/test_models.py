@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapescreen.operators import gmm, iforest, mlp, models, ocsvm
+from shapescreen.operators import gmm, iforest, mlp, models, ocsvm, training
 from shapescreen.operators.models import training_rows
 
 
@@ -23,19 +23,16 @@ def test_one_component_is_mean_and_covariance(dataset):
         assert np.array(row["cov"]) == pytest.approx(np.cov(x.T, bias=True) + 1e-6 * np.eye(x.shape[1]))
 
 
-def test_likelihood_never_falls(dataset, monkeypatch):
-    seen = {}
-    update = gmm._update
-
-    def watch(model, sums, *rest):
-        seen.setdefault((model.target, model.param), []).append(sums[-2] / sums[-1])
-        return update(model, sums, *rest)
-
-    monkeypatch.setattr(gmm, "_update", watch)
-    gmm.fit(training_rows(dataset), (3,), covariance="diag", tol=1e-6, max_iter=15)
-    assert seen
-    for steps in seen.values():
-        assert all(b >= a - 1e-9 for a, b in zip(steps, steps[1:]))
+@pytest.mark.parametrize("covariance", ["diag", "full"])
+def test_likelihood_never_falls(covariance):
+    trainer, seen = gmm.mixture_trainer(covariance, tol=1e-9, max_iter=25), []
+    update = trainer.update
+    trainer.update = lambda model, sums, i: seen.append(sums[-2] / sums[-1]) or update(model, sums, i)
+    x = np.random.default_rng(3).normal(size=(300, 4)) * [1, 2, 3, 4]
+    zero = np.zeros(300)
+    model = models.Model(0, 1.0, 3, -1, 300, 4)
+    training.train_here(model, trainer, x, zero, zero - 1, np.arange(300))
+    assert len(seen) > 3 and all(b >= a - 1e-9 for a, b in zip(seen, seen[1:]))
 
 
 def test_mixture_scores_are_mean_log_densities(dataset):
@@ -67,7 +64,7 @@ def test_models_do_not_depend_on_partitions_waves_or_rounds(dataset, monkeypatch
     monkeypatch.setattr(models, "WAVE_BYTES", 1)
     monkeypatch.setattr(models.waves, "__defaults__", (1,))
     moved = rows.repartition(5, "mol_id")
-    assert score_map(gmm.score(dataset.repartition(3), gmm.fit(moved, (1, 2)))) == pytest.approx(want)
+    assert score_map(gmm.score(dataset.repartition(3), gmm.fit(moved, (1, 2), task_data=0))) == pytest.approx(want)
 
 
 def test_folds_train_on_the_other_folds(dataset):
@@ -188,22 +185,78 @@ def test_models_are_stored_and_read_back(spark, dataset, tmp_path):
     assert score_map(gmm.score(dataset, again)) == score_map(gmm.score(dataset, fitted))
 
 
-def test_a_model_that_breaks_down_is_reported_and_left_out(dataset, monkeypatch):
-    finish, calls = gmm._finish, []
-
-    def fragile(w, mu, s):
-        calls.append(1)
-        if len(calls) == 3:
-            raise np.linalg.LinAlgError("not positive definite")
-        return finish(w, mu, s)
-
-    monkeypatch.setattr(gmm, "_finish", fragile)
-    fitted = gmm.fit(training_rows(dataset), (1,))
-    monkeypatch.undo()
+@pytest.mark.parametrize("task_data", [None, 0])
+def test_a_model_that_breaks_down_is_reported_and_left_out(dataset, task_data):
+    huge = F.when(F.col("target") == 1, 1e200).otherwise(1.0)
+    broken = dataset.withColumn(
+        "conformers",
+        F.transform("conformers", lambda c: c.withField("features", F.transform(c["features"], lambda v: v * huge))),
+    )
+    fitted = gmm.fit(training_rows(broken), (1,), task_data=task_data)
     assert sorted(r["status"] for r in fitted.collect()) == ["failed", "ok"]
     assert gmm.score(dataset, fitted).select("target").distinct().count() == 1
 
 
+def payloads(df):
+    keys = ("target", "portion", "param", "fold", "status", "n_rows", "n_iter")
+    return {tuple(r[k] for k in keys): r["payload"] and np.frombuffer(r["payload"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("family", ["gmm", "mlp", "ocsvm"])
+def test_data_sets_train_alike_inside_a_task_and_over_tasks(dataset, family):
+    rows = training_rows(dataset, family != "mlp").withColumn("fold", F.pmod(F.xxhash64("mol_id"), F.lit(3)).cast("int"))
+    fit = {
+        "gmm": lambda rows, **o: gmm.fit(rows, (1, 3, 5), (-1, 0, 1), start_rows=20, max_iter=8, **o),
+        "mlp": lambda rows, **o: mlp.fit(rows, (6,), (-1, 2), max_iter=12, standardise=True, **o),
+        "ocsvm": lambda rows, **o: ocsvm.fit(rows, (50, 20), (0,), max_iter=6, features=32, **o),
+    }[family]
+    here, spread = payloads(fit(rows)), payloads(fit(rows.repartition(5), task_data=0))
+    assert here.keys() == spread.keys()
+    for name, want in here.items():
+        assert want == pytest.approx(spread[name], rel=1e-6, abs=1e-9), name
+
+
+def test_trees_are_the_same_inside_a_task_and_over_tasks(dataset):
+    rows = training_rows(dataset).withColumn("fold", F.pmod(F.xxhash64("mol_id"), F.lit(3)).cast("int"))
+    rows = rows.withColumn("target", F.col("target").cast("int"))
+    node_list = lambda df: sorted(map(tuple, iforest.nodes(df).collect()))
+    here = node_list(iforest.fit(rows, (9, 4), (-1, 0, 2), rows_per_tree=20))
+    assert here and here == node_list(iforest.fit(rows.repartition(5), (9, 4), (-1, 0, 2), rows_per_tree=20, task_data=0))
+
+
+def test_slots_don_t_change_models(dataset, monkeypatch):
+    rows = training_rows(dataset)
+    one = payloads(gmm.fit(rows, (1, 2, 3), start_rows=9))
+    monkeypatch.setattr(training, "SLOT_COST", 1)
+    many = payloads(gmm.fit(rows.repartition(7, "mol_id"), (1, 2, 3), start_rows=9))
+    assert one.keys() == many.keys() and all((one[k] == many[k]).all() for k in one)
+
+
+def test_models_in_shards_score_like_whole_ones(dataset, monkeypatch):
+    folded = dataset.withColumn("fold", F.pmod(F.xxhash64("mol_id"), F.lit(2)).cast("int"))
+    mixtures = gmm.fit(training_rows(folded), (1, 9), (0, 1))
+    forests = iforest.fit(training_rows(folded), (30, 7), (0, 1))
+    whole = score_map(gmm.score(folded, mixtures)), score_map(iforest.score(folded, forests))
+    monkeypatch.setattr(models, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(models, "CHUNK_BYTES", 3000)
+    assert max(len(gmm._cut(bytes(r["payload"]), 4000)) for r in mixtures.collect()) > 3
+    assert max(len(iforest._cut(bytes(r["payload"]), 4000)) for r in forests.collect()) > 3
+    assert score_map(gmm.score(folded, mixtures)) == pytest.approx(whole[0])
+    assert score_map(iforest.score(folded, forests)) == pytest.approx(whole[1])
+
+
+def test_a_thousand_forests(dataset):
+    """Models of a thousand data sets meet their molecules in one join."""
+    many = dataset.filter("target = 0").withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    actives = training_rows(many).filter("target < 2")
+    few = iforest.fit(actives, (3,))
+    forests = few.filter("target = 0").drop("target").withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    forests = forests.select(few.columns)
+    scores = iforest.score(many, forests)
+    one = scores.filter("target = 0").count()
+    assert one > 0 and scores.count() == 1000 * one
+
+
 def test_starts_do_not_depend_on_the_grid(dataset):
     """The larger model of a grid draws a larger sample; the smaller one starts as it does alone."""
     rows = training_rows(dataset)
