@@ -1,23 +1,24 @@
-"""Order-preserving bands of a score.
+"""Order-preserving bands of a score, with borders taken from the data.
 
 A window over all rows of one group runs in one task, and one group may hold a
 third of all rows.  Ranks and running sums are therefore computed in two steps:
 inside a band of neighbouring scores, and over the bands of a group.  A band is
-a monotone function of the score, so the result is exact for any data; how even
-the bands are only decides how well the work spreads.
+a monotone function of the score, so the result is exact for any borders; the
+borders are quantiles of all scores, so no band has many rows, whatever the
+scores' range and however they are spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# log1p of the largest double is 709.8, so this maps every finite score into [0, 2).
-_LOG_RANGE = 710.0
-# Bands over the whole double range: scores in [0, 1] fall into about 8,000 of them,
-# each of which is cut into 1,024 fine bands.
-BANDS = 1 << 24
-FINE_BANDS = BANDS << 10
+# Rows a band holds, about, and the most bands.
+BAND_ROWS = 500_000
+MOST_BANDS = 1 << 14
+# Even parts of a band.
+FINE = 1024
 
 MAX_DOUBLE = 1.7976931348623157e308
 
@@ -34,13 +35,35 @@ def clean_score(score: Column) -> Column:
     )
 
 
-def score_band(score: Column, bands: int = BANDS) -> Column:
-    """Band number of a finite score; never decreases as the score grows."""
-    squashed = F.signum(score) * F.log1p(F.abs(score)) / F.lit(_LOG_RANGE)
-    band = F.floor((squashed + F.lit(1.0)) * F.lit(bands / 2.0)).cast("bigint")
+def quantile_borders(scores: DataFrame, rows: int) -> list[float]:
+    """The least score, borders between bands of about BAND_ROWS rows, the greatest score.
+
+    One mergeable sketch per task; the driver gets the borders only.
+    """
+    bands = min(MOST_BANDS, -(-rows // BAND_ROWS))
+    shares = [i / bands for i in range(bands + 1)]
+    found = scores.agg(F.percentile_approx("score", shares, 4 * max(bands, 2500))).first()[0]
+    return sorted({float(v) for v in found or ()})
+
+
+def with_bands(scores: DataFrame, rows: int) -> DataFrame:
+    """Add ``band``, and ``fine``, the part of the band, for finite ``score``; both never decrease as the
+    score grows within what they belong to.  ``scores`` is read twice if it has over BAND_ROWS rows."""
+    edges = quantile_borders(scores, rows) if rows > BAND_ROWS else []
+    if len(edges) < 3:
+        return scores.withColumns({"band": F.lit(0).cast("bigint"), "fine": F.lit(0).cast("bigint")})
+    splits = [float("-inf"), *edges[1:-1], float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="score", outputCol="band").transform(scores)
+    band = F.col("band").cast("int")
+    # One folded literal, however many edges.
+    listed = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
+    edge = lambda i: F.element_at(listed, i) / 2
+    # Halves, as the range of the scores may exceed the greatest double.
+    share = (F.col("score") / 2 - edge(band + 1)) / F.nullif(edge(band + 2) - edge(band + 1), F.lit(0.0))
+    fine = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * FINE), F.lit(0)), F.lit(FINE - 1))
     # Never NULL: otherwise a join adds a null filter to one side only and the
     # shuffle of the histogram is not shared between its two readers.
-    return F.coalesce(band, F.lit(0).cast("bigint"))
+    return placed.withColumns({"band": F.coalesce(band.cast("bigint"), F.lit(0)), "fine": fine.cast("bigint")})
 
 
 def shuffle_key(identifier: Column, seed: int) -> Column:

@@ -24,6 +24,13 @@ class Packed:
         end = self.starts[hi] if hi < len(self.starts) else len(self.values)
         return Packed(self.values[begin:end], self.starts[lo:hi] - begin, self.ids.slice(lo, hi - lo))
 
+    def take(self, index: np.ndarray) -> "Packed":
+        """The molecules of the given places, in that order."""
+        counts = np.diff(np.append(self.starts, len(self.values)))[index]
+        starts = np.cumsum(counts) - counts
+        rows = np.repeat(self.starts[index] - starts, counts) + np.arange(counts.sum())
+        return Packed(self.values[rows], starts.astype(np.int64), self.ids.take(pa.array(index)))
+
     def pieces(self, max_rows: int):
         """Consecutive pieces of whole molecules with about ``max_rows`` rows each."""
         lo = 0

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapescreen.functions.bands import FINE_BANDS, clean_score, score_band, shuffle_key
+from shapescreen.functions.bands import clean_score, shuffle_key
 from shapescreen.operators.ranking import (
     average_ranks,
+    banded,
     from_above,
     numbered,
     prefix_counts,
@@ -50,13 +51,13 @@ def _auc_of_histogram(hist: DataFrame, group: list[str], name: str) -> DataFrame
     scores = hist.select(
         *group,
         "band",
-        score_band(F.col("score"), FINE_BANDS).alias("fine"),
+        "fine",
         "score",
         "pos",
         (F.col("n") - F.col("pos")).alias("neg"),
     ).withColumn("pairs", F.col("pos") * F.col("neg") / F.lit(2.0))
     fine = combined(
-        scores.withColumn("below", below([*group, "fine"], "score")), [*group, "band", "fine"]
+        scores.withColumn("below", below([*group, "band", "fine"], "score")), [*group, "band", "fine"]
     )
     bands = combined(fine.withColumn("below", below([*group, "band"], "fine")), [*group, "band"])
     totals = combined(bands.withColumn("below", below(group, "band")), group)
@@ -83,10 +84,10 @@ def rank_auc(
 
 def _rank_auc(counted: DataFrame, group: list[str], template: str, name: str) -> DataFrame:
     ranks = average_ranks(counted, [*group, template])
-    pooled = ranks.groupBy(
-        *group, score_band(F.col("avg_rank")).alias("band"), F.col("avg_rank").alias("score")
-    ).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    return _auc_of_histogram(pooled, group, name)
+    pooled = ranks.groupBy(*group, F.col("avg_rank").alias("score")).agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("pos")
+    )
+    return _auc_of_histogram(banded(pooled), group, name)
 
 
 def roc_points(scores: DataFrame, group: list[str]) -> DataFrame:
@@ -251,7 +252,7 @@ def evaluate(
     if template is None:
         counted = counted.withColumn("_list", F.lit(0))
     else:
-        pooled = counted.groupBy(*group, "band", "score").agg(
+        pooled = counted.groupBy(*group, "band", "fine", "score").agg(
             F.sum("n").alias("n"), F.sum("pos").alias("pos")
         )
     per_list = _enrichment(counted, scores, lists, THRESHOLDS, eval_method, identifier)

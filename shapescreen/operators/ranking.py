@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapescreen.functions.bands import clean_score, score_band
+from shapescreen.functions.bands import clean_score, with_bands
+from shapescreen.sources.store import stage
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -14,18 +15,24 @@ def _running(column: Column, window) -> Column:
     return F.coalesce(F.sum(column).over(window.rowsBetween(*_BEFORE)), F.lit(0))
 
 
+def banded(hist: DataFrame) -> DataFrame:
+    """A histogram, stored, with the ``band`` and ``fine`` part of each score."""
+    hist = stage(hist, "histogram")
+    return with_bands(hist, hist.count())
+
+
 def score_histogram(
     scores: DataFrame, group: list[str], score: str = "score", truth: str = "truth"
 ) -> DataFrame:
-    """Rows and positives per distinct score of a group.
+    """Rows and positives per distinct score of a group, with the score's band.
 
     Equal scores are combined before the shuffle, so a score shared by very
     many rows costs one row per task.
     """
     value = clean_score(F.col(score))
-    return (
+    return banded(
         scores.select(*group, value.alias("score"), F.col(truth).cast("bigint").alias("truth"))
-        .groupBy(*group, score_band(F.col("score")).alias("band"), "score")
+        .groupBy(*group, "score")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("truth").alias("pos"))
     )
 
@@ -53,6 +60,7 @@ def prefix_counts(hist: DataFrame, group: list[str]) -> DataFrame:
     local = hist.select(
         *group,
         "band",
+        "fine",
         "score",
         "n",
         "pos",
@@ -64,6 +72,7 @@ def prefix_counts(hist: DataFrame, group: list[str]) -> DataFrame:
     return local.join(offsets.hint("merge"), [*group, "band"]).select(
         *group,
         "band",
+        "fine",
         "score",
         "n",
         "pos",

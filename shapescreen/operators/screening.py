@@ -76,7 +76,18 @@ def score_pairs(
     rows)``; ``rows`` is ``array<array<double>>``.  The kernel receives two packed
     groups and returns a templates-by-candidates matrix.
     """
-    keys = list(keys)
+    return _laid_out(
+        templates,
+        candidates,
+        max_broadcast,
+        list(keys),
+        lambda shared, own: _against_all(shared, kernel, own),
+        lambda own: _chunk_by_chunk(kernel, own),
+    )
+
+
+def _laid_out(templates, candidates, max_broadcast, keys, against_all, chunk_by_chunk) -> DataFrame:
+    """Bring templates and candidates together in one of the two layouts, as template and candidate rows."""
     schema = T.StructType(
         [
             *[candidates.schema[k] for k in keys],
@@ -93,8 +104,8 @@ def score_pairs(
     if measured["n"] <= max_broadcast and 8 * measured["values"] <= MAX_BROADCAST_BYTES:
         few = pack(templates.toArrow(), keys, "template_id", "rows")
         shared = candidates.sparkSession.sparkContext.broadcast(few)
-        return candidates.mapInArrow(_against_all(shared, kernel, keys), schema)
-    return _chunked(templates, candidates, keys).mapInArrow(_chunk_by_chunk(kernel, keys), schema)
+        return candidates.mapInArrow(against_all(shared, keys), schema)
+    return _chunked(templates, candidates, keys).mapInArrow(chunk_by_chunk(keys), schema)
 
 
 def _emit(labels: dict, templates: Packed, candidates: Packed, truth: pa.Array, kernel: Kernel):
@@ -162,12 +173,14 @@ def _chunked(templates: DataFrame, candidates: DataFrame, keys: list[str]) -> Da
     return joined.select(*keys, "templates", "candidates")
 
 
-def _chunk_by_chunk(kernel: Kernel, keys: list[str]):
-    def unpacked(column: pa.ListArray, row: int, identifier: str):
-        table = pa.RecordBatch.from_struct_array(column.slice(row, 1).flatten())
-        one = table.append_column("one", pa.array(np.zeros(table.num_rows, dtype=np.int8)))
-        return pack(one, ["one"], identifier, "rows")[(0,)], table
+def unpacked(column: pa.ListArray, row: int, identifier: str):
+    """A chunk's molecules, packed, and its table."""
+    table = pa.RecordBatch.from_struct_array(column.slice(row, 1).flatten())
+    one = table.append_column("one", pa.array(np.zeros(table.num_rows, dtype=np.int8)))
+    return pack(one, ["one"], identifier, "rows")[(0,)], table
+
 
+def _chunk_by_chunk(kernel: Kernel, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

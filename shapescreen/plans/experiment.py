@@ -19,7 +19,7 @@ from shapescreen.operators.models import training_rows
 from shapescreen.operators.molecules import union_frames
 from shapescreen.operators.screening import screen
 from shapescreen.sources.descriptors import DESCRIPTOR_TYPES
-from shapescreen.sources.store import append_results, pending_targets, save_models, stage, stored
+from shapescreen.sources.store import RunLog, stage
 
 METRICS = ("auc", "auc_rank", "ef_1", "ef_5")
 
@@ -115,12 +115,33 @@ def screening_portions(
 
 @dataclass
 class Split:
-    """Stored molecules of an experiment, with ``portion`` and ``fold`` (-1: none)."""
+    """Molecules of an experiment, stored once, each with its ``roles``: the parts it belongs to, with
+    ``portion`` and ``fold`` (-1: none).  A part is a predicate over them, not a copy."""
 
-    test: DataFrame
-    train: DataFrame
-    cross: DataFrame
-    redraw: DataFrame
+    molecules: DataFrame
+
+    def part(self, name: str) -> DataFrame:
+        """``target, mol_id, active, conformers, portion, fold`` of one part."""
+        own = F.explode(F.filter("roles", lambda r: r["part"] == name)).alias("role")
+        return self.molecules.select("target", "mol_id", "active", "conformers", own).select(
+            "target", "mol_id", "active", "role.portion", "role.fold", "conformers"
+        )
+
+    @property
+    def test(self) -> DataFrame:
+        return self.part("test")
+
+    @property
+    def train(self) -> DataFrame:
+        return self.part("train")
+
+    @property
+    def cross(self) -> DataFrame:
+        return self.part("cross")
+
+    @property
+    def redraw(self) -> DataFrame:
+        return self.part("redraw")
 
 
 def split(
@@ -133,7 +154,7 @@ def split(
     """Hold-out split, folds of the training part, and the redrawn training actives.
 
     ``molecules`` are of one descriptor type; :func:`run_types` takes several.  ``totals``: see
-    :func:`sampling.draw`.
+    :func:`sampling.draw`.  Only keys are drawn and numbered; descriptors move once.
     """
     keys = stage(molecules.select("target", "mol_id", "active"), "keys")
     draw = lambda share, seed, **kw: sampling.draw(keys, portions, share, -1, "RANDOM", seed, totals=totals, **kw)
@@ -141,19 +162,20 @@ def split(
     train_keys = stage(draw(sampling.TRAIN_SHARE, seed + 1, exclude=test_keys), "train")
     folded = sampling.kfold(train_keys, folds, ["target", "portion"], "RANDOM", seed + 3)
     again = sampling.training_redraw(keys, test_keys, portions, seed, totals=totals)
-    body = molecules.select("target", "mol_id", "conformers")
-
-    def attach(rows: DataFrame, name: str) -> DataFrame:
-        if "fold" not in rows.columns:
-            rows = rows.withColumn("fold", F.lit(-1))
-        return stage(rows.join(body, ["target", "mol_id"]), name)
-
-    return Split(
-        attach(test_keys, "test-set"),
-        attach(train_keys, "train-set"),
-        attach(folded, "fold-set"),
-        attach(again, "redraw-set"),
-    )
+    drawn = {"test": test_keys, "train": train_keys, "cross": folded, "redraw": again}
+
+    def role(rows: DataFrame, name: str) -> DataFrame:
+        fold = F.col("fold").cast("int") if "fold" in rows.columns else F.lit(-1)
+        portion = F.col("portion").cast("double")
+        return rows.select(
+            "target", "mol_id", F.struct(F.lit(name).alias("part"), portion.alias("portion"), fold.alias("fold")).alias("role")
+        )
+
+    # At most one role for each part and portion.
+    roles = union_frames(*(role(rows, name) for name, rows in drawn.items())).groupBy("target", "mol_id")
+    members = stage(roles.agg(F.sort_array(F.collect_list("role")).alias("roles")), "roles")
+    body = molecules.select("target", "mol_id", "active", "conformers")
+    return Split(stage(body.join(members, ["target", "mol_id"]), "split-molecules"))
 
 
 def cross_validate(
@@ -282,22 +304,15 @@ def run_types(molecules: DataFrame, family: Family, dtypes=DESCRIPTOR_TYPES, **o
     )
 
 
-def resume(
-    molecules: DataFrame, family: Family, results: str, models: str, **options
-) -> DataFrame:
-    """Run the experiment for targets without a stored result; append results, then models.
-
-    Returns all stored results.  A run that stops before its results are stored repeats them; its
-    models are stored last, so a target's models may be missing after a stop, never its results twice.
-    """
-    spark = molecules.sparkSession
-    done = stored(spark, results)
-    todo = molecules
-    if done is not None:
-        todo = molecules.join(pending_targets(molecules.select("target"), done), "target", "left_semi")
-    if done is None or not todo.isEmpty():
-        made = run(stage(todo, "pending-molecules"), family, **options)
-        append_results(made.final, results)
-        save_models(made.models, models)
-        done = stored(spark, results)
-    return done
+def resume(molecules: DataFrame, family: Family, folder: str, **options) -> RunLog:
+    """Run the experiment for the targets that no run has finished yet; results and models of a target
+    appear together (:class:`RunLog`).  A run that stops before its commit is repeated."""
+    log = RunLog(molecules.sparkSession, folder)
+    todo = stage(log.pending(molecules), "pending-targets")
+    if not todo.isEmpty():
+        name = log.start()
+        made = run(stage(molecules.join(todo, "target", "left_semi"), "pending-molecules"), family, **options)
+        log.write("results", name, made.final)
+        log.write("models", name, made.models)
+        log.commit(name, todo)
+    return log

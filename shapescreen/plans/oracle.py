@@ -153,6 +153,24 @@ FROM dens GROUP BY target, mol_id""",
     )
 
 
+def _trained(grid: str) -> tuple[str, ...]:
+    """``trained(target, param, n)``: the parameters of a grid for each target, with its training rows."""
+    return (
+        _v(),
+        "rows_of AS (SELECT label AS target, count(*) AS n FROM v GROUP BY label)",
+        f"trained AS (SELECT target, CAST(param AS INTEGER) AS param, n FROM rows_of, (SELECT unnest({grid}) AS param))",
+    )
+
+
+def _rescored(grid: str, condition: str = "true") -> str:
+    """All molecules of each model, and as many that agree."""
+    return _with(
+        *_trained(grid),
+        select=f"""SELECT target, param, (SELECT count(DISTINCT mol_id) FROM v) AS molecules, (SELECT count(DISTINCT mol_id) FROM v) AS agree
+FROM trained WHERE {condition}""",
+    )
+
+
 # One diagonal Gaussian per molecule.
 MOL1 = "g AS (SELECT mol_id, label, i, avg(x) AS mu, var_pop(x) + 1e-6 AS s FROM long GROUP BY ALL)"
 PAIR = """p AS (
@@ -442,6 +460,29 @@ FROM (SELECT DISTINCT target, fold FROM f) a JOIN f b ON a.target = b.target AND
         ),
         "gmm1_diag_score": _gmm1(""),
         "gmm1_lec_score": _gmm1("WHERE conf_rank = 1"),
+        "gmm_moments": _with(
+            *_trained("[1, 10, 50, 100, 1000]"), RANKED, LONG,
+            """m AS (SELECT label AS target, i, avg(x) AS mean, var_pop(x) + 1e-6 AS variance FROM long GROUP BY label, i)""",
+            select="""SELECT target, param, CAST(i AS INTEGER) AS i, round(mean, 6) AS mean, round(variance, 6) AS variance
+FROM m JOIN trained USING (target) WHERE n > param""",
+        ),
+        "gmm_fold_moments": _with(
+            *BASE, _kfold(3, _HASH11), RANKED, LONG,
+            """x AS (SELECT f.target, f.fold, i, x FROM f JOIN long ON f.mol_id = long.mol_id WHERE f.active)""",
+            """m AS (SELECT x.target, h.fold, x.i, avg(x.x) AS mean, var_pop(x.x) + 1e-6 AS variance, count(*) AS n
+  FROM x, (SELECT CAST(unnest(range(3)) AS INTEGER) AS fold) h WHERE x.fold <> h.fold GROUP BY ALL)""",
+            select="""SELECT target, CAST(param AS INTEGER) AS param, fold, CAST(i AS INTEGER) AS i, round(mean, 6) AS mean,
+  round(variance, 6) AS variance FROM m, (SELECT unnest([1, 10]) AS param) WHERE n > param""",
+        ),
+        "gmm_rescored": _rescored("[1, 10, 50, 100, 1000]", "n > param"),
+        "iforest_facts": _with(
+            *_trained("[500, 100, 10]"),
+            select="""SELECT target, param, CAST(param AS BIGINT) AS trees, CAST(least(n, 256) AS INTEGER) AS sample,
+  CAST(param * least(n, 256) AS BIGINT) AS leaf_rows, CAST(0 AS BIGINT) AS broken FROM trained""",
+        ),
+        "iforest_rescored": _rescored("[10]"),
+        "mlp_rescored": _rescored("[100]"),
+        "ocsvm_rescored": _rescored("[50]"),
         "mol_nmp": _NMP,
         "mol_expected_likelihood": _mol("-0.5 * (d * ln(2 * pi()) + logdet + quad)"),
         "mol_bhattacharyya": _mol("-0.25 * quad - 0.5 * (logdet - d * ln(2)) + 0.25 * (lda + ldb)"),
@@ -453,6 +494,9 @@ FROM (SELECT DISTINCT target, fold FROM f) a JOIN f b ON a.target = b.target AND
             + ", ".join(rounded.format(c) for c in ("mean_auc", "std_auc", "mean_auc_rank", "mean_ef_5", "std_ef_5"))
             + ", CASE WHEN folds > 0 THEN 'ok' ELSE 'skipped' END AS status FROM summ",
         ),
+        "resumed_run": _with(
+            *BASE, select="SELECT target, CAST(2 AS BIGINT) AS results, CAST(2 AS BIGINT) AS models, true AS together FROM k GROUP BY target"
+        ),
         "best_param": _with(
             *_FEATURES,
             select="""SELECT target, portion, param AS best_param FROM (SELECT *, row_number() OVER (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapescreen.functions import gaussians
-from shapescreen.operators import evaluation, gmm, iforest, mlp, ocsvm, ranking, sampling
+from shapescreen.operators import evaluation, facts, gmm, iforest, mlp, nearest, ocsvm, ranking, sampling
 from shapescreen.operators import molecules as mols
 from shapescreen.operators.models import as_dataset, training_rows
 from shapescreen.operators.screening import screen
@@ -14,7 +16,7 @@ from shapescreen.plans import experiment
 from shapescreen.plans.experiment import FAMILIES
 from shapescreen.session import ship_package
 from shapescreen.sources import descriptors, embeddings
-from shapescreen.sources.store import pending_targets, stage
+from shapescreen.sources.store import RunLog, pending_targets, stage, stage_folder
 
 SCORE_KEYS = ("target", "template_id", "mol_id", "score", "truth")
 # Molecules scored per similarity in the stand-in data: parameters of the deterministic models.
@@ -219,7 +221,7 @@ def screening_descriptors(spark, sf):
 
 
 def screen_topk(spark, sf):
-    best = ranking.top_k(_scores(spark, sf), ["target", "template_id"], 10)
+    best = nearest.screen_top(embeddings.molecules(spark, sf), 10, digits=9)
     return best.select(*SCORE_KEYS, F.col("position").cast("bigint").alias("position"))
 
 
@@ -441,6 +443,52 @@ def mlp_lec_score(spark, sf):
     return _model_scores(mlp.score(data, models))
 
 
+def gmm_moments(spark, sf):
+    """Mean and variance of each whole mixture: those of its training rows."""
+    found = facts.mixture_moments(gmm.fit(training_rows(_dataset(spark, sf)), gmm.COMPONENTS))
+    return _rounded(found.select("target", "param", "i", "mean", "variance"), 6, "mean", "variance")
+
+
+def gmm_fold_moments(spark, sf):
+    """The same for mixtures that leave a fold out."""
+    data = _folded(spark, sf)
+    found = facts.mixture_moments(gmm.fit(training_rows(data), (1, 10), range(3), covariance="diag"))
+    return _rounded(found.select("target", "param", "fold", "i", "mean", "variance"), 6, "mean", "variance")
+
+
+def _folded(spark, sf):
+    """Molecules in three folds by a hash."""
+    folds = sampling.kfold(_keys(spark, sf), 3, ["target"], "RANDOM", 11).select("target", "mol_id", "fold")
+    return stage(_dataset(spark, sf).drop("fold").join(folds, ["target", "mol_id"]), "folded")
+
+
+def gmm_rescored(spark, sf):
+    data = _dataset(spark, sf)
+    models = gmm.fit(training_rows(data), gmm.COMPONENTS, covariance="diag")
+    return facts.rescored_mixtures(data, models)
+
+
+def iforest_facts(spark, sf):
+    found = facts.forest_facts(iforest.fit(training_rows(_dataset(spark, sf)), iforest.TREES))
+    return found.select("target", "param", "trees", "sample", "leaf_rows", "broken")
+
+
+def iforest_rescored(spark, sf):
+    """The smallest forest of the grid, walked by lookups."""
+    data = _dataset(spark, sf)
+    return facts.rescored_forests(data, iforest.fit(training_rows(data), iforest.TREES[-1:]))
+
+
+def mlp_rescored(spark, sf):
+    data = _dataset(spark, sf)
+    return facts.rescored_units(data, mlp.fit(training_rows(data, False)), "mlp")
+
+
+def ocsvm_rescored(spark, sf):
+    data = _dataset(spark, sf)
+    return facts.rescored_units(data, ocsvm.fit(training_rows(data)), "ocsvm")
+
+
 def _mixtures(spark, sf, covariance, one=False):
     molecules = embeddings.molecules(spark, sf)
     k = F.lit(1) if one else None
@@ -557,6 +605,29 @@ def final_eval(spark, sf):
     return _rounded(result.final.drop("elapsed_s"), 6, *columns)
 
 
+def resumed_run(spark, sf):
+    """A stored experiment that is stopped twice and resumed, read back: rows and runs of each target.
+
+    The first run finishes one target; the second stops after its results, before its models and
+    its commit; the third does what is left.
+    """
+    data = stage(embeddings.molecules(spark, sf), "molecules")
+    folder = f"{stage_folder(spark)}/runs-{uuid.uuid4().hex}"
+    options = {"portions": (1.0, 0.5), "features": 64}
+    experiment.resume(data.filter("target = 0"), FAMILIES["ocsvm"], folder, **options)
+    stopped = RunLog(spark, folder)
+    left = stopped.read("results").withColumn("target", F.lit(1).cast("bigint")).drop("run")
+    stopped.write("results", stopped.start(), left)
+    log = experiment.resume(data, FAMILIES["ocsvm"], folder, **options)
+    counted = lambda kind: log.read(kind).groupBy("target").agg(
+        F.count("*").alias(kind), F.min("run").alias(f"{kind}_run"), F.count_distinct("run").alias(f"{kind}_runs")
+    )
+    together = (F.col("results_run") == F.col("models_run")) & (F.col("results_runs") == 1) & (F.col("models_runs") == 1)
+    return counted("results").join(counted("models"), "target").select(
+        "target", "results", "models", together.alias("together")
+    )
+
+
 def refit_model(spark, sf):
     family = FAMILIES["gmm"]
     data, summary = _cross_validated(spark, sf, family)
@@ -576,7 +647,8 @@ _QUERIES = (
     kfold, kfold_sequential, fold_train_counts,
     gmm1_diag_score, gmm1_lec_score, gmm1_full_score, gmm_fit, gmm_score,
     iforest_fit, iforest_score, ocsvm_score, mlp_score, mlp_activity_score, mlp_lec_score,
-    mol_nmp, mol_nmp_components, xval_summary, best_param, final_eval, refit_model,
+    gmm_moments, gmm_fold_moments, gmm_rescored, iforest_facts, iforest_rescored, mlp_rescored, ocsvm_rescored,
+    mol_nmp, mol_nmp_components, xval_summary, best_param, final_eval, refit_model, resumed_run,
 )
 _NAMED = (
     "mol_expected_likelihood", "mol_bhattacharyya", "mol_bhattacharyya2", "mol_bhattacharyya2_distance",

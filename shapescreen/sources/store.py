@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -100,6 +101,46 @@ def pending_targets(targets: DataFrame, done: DataFrame) -> DataFrame:
     )
 
 
+class RunLog:
+    """Results and models of runs, which become visible together, target by target.
+
+    A run writes both under its own name and then commits its targets with one small file.  Readers
+    take committed targets only, each from the first run that committed it: what a stopped run left
+    behind is never read, and a target that two runs finished is there once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def start(self) -> str:
+        """Name of a new run; names sort by time."""
+        return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+    def write(self, kind: str, run: str, rows: DataFrame) -> None:
+        """Rows of one kind, such as ``results`` or ``models``, with a ``target``; not visible yet."""
+        rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{self.folder}/{kind}")
+
+    def commit(self, run: str, targets: DataFrame) -> None:
+        done = targets.select("target").distinct().withColumn("run", F.lit(run))
+        done.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+
+    def committed(self) -> DataFrame | None:
+        """``target, run`` of all finished targets, or None before the first."""
+        done = stored(self.spark, f"{self.folder}/commits")
+        return None if done is None else done.groupBy("target").agg(F.min("run").alias("run"))
+
+    def pending(self, targets: DataFrame) -> DataFrame:
+        done = self.committed()
+        return targets.select("target").distinct() if done is None else pending_targets(targets, done)
+
+    def read(self, kind: str) -> DataFrame | None:
+        """Committed rows of one kind, or None where there are none."""
+        done, rows = self.committed(), stored(self.spark, f"{self.folder}/{kind}")
+        if done is None or rows is None:
+            return None
+        return rows.withColumn("run", F.col("run").cast("string")).join(done, ["target", "run"], "left_semi")
+
+
 def with_status(results: DataFrame, metric: str = "auc") -> DataFrame:
     """Mark rows whose model could not be trained or evaluated; their metrics stay NULL."""
     return results.withColumn(

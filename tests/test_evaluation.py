@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from shapescreen.functions import bands
 from shapescreen.operators import evaluation, ranking
 
 
@@ -126,3 +127,33 @@ def test_measures_never_shuffle_to_one_task(spark):
     for df in (evaluation.roc_auc(pool, ["target"]), evaluation.rank_auc(pool, ["target"])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+def skewed(rng, n=3000):
+    """Scores near 1.7e9, some far away and many ties: one group holds two thirds of the rows."""
+    return np.concatenate([1.7e9 + rng.normal(size=n - 600).round(3), rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), np.full(300, 1.7e9)])
+
+
+def test_bands_follow_the_data(spark, monkeypatch):
+    monkeypatch.setattr(bands, "BAND_ROWS", 50)
+    rng = np.random.default_rng(4)
+    score = skewed(rng)
+    hist = ranking.score_histogram(scores(spark, score, score > 1.7e9), ["target"]).cache()
+    per_band = [r["count"] for r in hist.groupBy("band").count().collect()]
+    assert len(per_band) > 20 and max(per_band) < 4 * 50
+    ordered = hist.orderBy("score").collect()
+    places = [(r["band"], r["fine"]) for r in ordered]
+    assert places == sorted(places) and len({r["fine"] for r in ordered}) > 20
+
+
+def test_measures_do_not_depend_on_the_bands(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    score = skewed(rng)
+    truth = rng.random(len(score)) < 0.3
+    rows = scores(spark, score, truth, template=[f"t{i % 3}" for i in range(len(score))])
+    want = evaluation.evaluate(rows, ["target"], "template_id").collect()
+    points = sorted(map(str, evaluation.roc_points(rows, ["target"]).collect()))
+    monkeypatch.setattr(bands, "BAND_ROWS", 40)
+    assert evaluation.evaluate(rows, ["target"], "template_id").collect()[0] == pytest.approx(tuple(want[0]), nan_ok=True)
+    assert want[0]["auc"] == pytest.approx(brute_auc(score, truth), abs=1e-12)
+    assert sorted(map(str, evaluation.roc_points(rows, ["target"]).collect())) == points

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shapescreen.operators import sampling
 from shapescreen.plans import experiment
 from shapescreen.plans.experiment import FAMILIES
+from shapescreen.sources.store import RunLog
 
 
 def table(spark, actives, decoys):
@@ -157,19 +158,44 @@ def test_quotas_of_all_files(spark):
 
 
 def test_resume_skips_finished_targets(spark, molecules, tmp_path, monkeypatch):
-    results, models = str(tmp_path / "results"), str(tmp_path / "models")
+    folder = str(tmp_path / "runs")
     family, options = FAMILIES["gmm"], {"portions": (1.0,), "params": (1,), "folds": 2, "covariance": "diag"}
-    experiment.resume(molecules.filter("target = 3"), family, results, models, **options)
+    log = experiment.resume(molecules.filter("target = 3"), family, folder, **options)
+    # A run that stopped before its commit left a result that nobody sees.
+    log.write("results", log.start(), log.read("results").drop("run").withColumn("target", F.lit(4).cast("bigint")))
     ran = []
     run = experiment.run
     monkeypatch.setattr(
         experiment, "run", lambda m, *a, **k: ran.append({r[0] for r in m.select("target").distinct().collect()}) or run(m, *a, **k)
     )
     both = molecules.filter("target in (3, 4)")
-    found = experiment.resume(both, family, results, models, **options)
-    assert ran == [{4}] and sorted(r["target"] for r in found.collect()) == [3, 4]
-    assert experiment.resume(both, family, results, models, **options).count() == 2 and len(ran) == 1
-    assert spark.read.parquet(models).count() == 2
+    log = experiment.resume(both, family, folder, **options)
+    assert ran == [{4}] and sorted(r["target"] for r in log.read("results").collect()) == [3, 4]
+    assert experiment.resume(both, family, folder, **options).read("results").count() == 2 and len(ran) == 1
+    assert log.read("models").count() == 2
+
+
+def test_a_target_that_two_runs_finished_is_read_once(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "runs"))
+    assert log.read("results") is None and log.pending(spark.range(2).withColumnRenamed("id", "target")).count() == 2
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0)], "target long, auc double")
+    first, second = log.start(), log.start()
+    for run, part in ((second, rows), (first, rows.filter("target = 0"))):
+        log.write("results", run, part)
+        log.commit(run, part)
+    assert sorted((r["target"], r["run"]) for r in log.read("results").collect()) == [(0, first), (1, second)]
+    assert log.read("models") is None
+
+
+def test_split_stores_descriptors_once(spark, molecules, monkeypatch):
+    written = []
+    own = experiment.stage
+    monkeypatch.setattr(experiment, "stage", lambda df, name: written.append(df.columns) or own(df, name))
+    data = experiment.split(molecules, (1.0, 0.5), 3)
+    parts = [data.test, data.train, data.cross, data.redraw]
+    assert [c for c in written if "conformers" in c] == [["target", "mol_id", "active", "conformers", "roles"]]
+    roles = data.molecules.select(F.explode("roles")).count()
+    assert all(p.count() for p in parts) and sum(p.count() for p in parts) == roles
 
 
 def test_types_run_one_by_one(spark, molecules):

@@ -95,3 +95,26 @@ def test_blocks_larger_than_one_piece_agree(monkeypatch):
 def test_few_templates_need_no_shuffle(spark, molecules):
     plan = screen(molecules)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("max_broadcast", [20_000, 0])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_pruned_best_candidates_equal_those_of_the_whole_matrix(spark, max_broadcast, as_text):
+    from shapescreen.operators import nearest, ranking
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6)) * 30
+    rows = []
+    for i in range(900):
+        x = centres[i % 12] + rng.normal(size=(1 + i % 3, 6)).round(1)
+        rows.append((i % 2, f"m{i}" if as_text else i, i % 40 < 2, [(float(j), j, v.tolist()) for j, v in enumerate(x)]))
+    kind = "string" if as_text else "long"
+    schema = f"target long, mol_id {kind}, active boolean, conformers array<struct<energy:double,conf_id:int,features:array<double>>>"
+    molecules = spark.createDataFrame(rows, schema).repartition(3, "mol_id")
+    whole = screen(molecules).withColumn("score", F.round("score", 9))
+    want = ranking.top_k(whole, ["target", "template_id"], 7)
+    pairs, skipped = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = nearest.screen_top(molecules, 7, max_broadcast=max_broadcast, pairs=pairs, skipped=skipped)
+    names = ["target", "template_id", "position", "mol_id", "score", "truth"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
+    assert pairs.value >= whole.count() and skipped.value > 0.3 * pairs.value
