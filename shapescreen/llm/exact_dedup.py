@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapescreen.llm import drops
 from shapescreen.llm.batches import free_names
 from shapescreen.sources.store import stage
 
@@ -66,7 +67,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", support: fl
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", support: float = 0.001) -> DataFrame:
     """The rows that stay, with all their columns, whatever their names.
 
-    Rows are dropped by key and text; of rows that repeat both one stays.
+    Rows are dropped by key and text; of rows that repeat both one stays.  Texts are shuffled only of
+    rows that share a key, or its bit, with a dropped one.
     """
     own, other_key, other = free_names(docs, "digest", "other_key", "other_digest")
     lots = (
@@ -76,10 +78,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", suppor
         .filter(~F.col("stays") | (F.col("times") > 1))
     )
     lots = stage(lots, "copies")
-    marked = docs.withColumn(own, digest(F.col(text)))
+    clean, rest = drops.split(docs, key, lots, other_key)
+    rest = rest.withColumn(own, digest(F.col(text)))
     same = F.col(key).eqNullSafe(F.col(other_key)) & (F.col(own) == F.col(other))
-    left = marked.join(lots.select(other_key, other), same, "left_anti")
+    left = rest.join(lots.select(other_key, other), same, "left_anti")
     repeated = lots.filter("stays").select(other_key, other)
     if not repeated.isEmpty():
-        left = left.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([key, own]))
-    return left.drop(own)
+        left = left.unionByName(rest.join(repeated, same, "left_semi").dropDuplicates([key, own]))
+    return clean.unionByName(left.drop(own))
