@@ -4,9 +4,11 @@
    Equal sets are one set from here on.
 2. A second pass sends every shingle hash, packed, to one of many ranges of hashes, where the number
    of sets that hold it is counted.  A shingle of one set can't link anything: it only counts as the
-   rarest in its set's order.  The others go back to their sets.  Shingles with more than
-   ``1 / HEAVY`` of all occurrences are told by a Misra-Gries count, broadcast (at most
-   ``2 * HEAVY``), and skip the ranges, so no range is hot.
+   rarest in its set's order.  The others go back to their sets.  Shingles that alone would fill a
+   part of a range are broadcast and skip the ranges, so no range is hot: those with over
+   ``1 / SHARES`` of all occurrences are told by the counts of all slices; where ranges are so many
+   that rarer ones matter too, they are told by all counts of a sample of about ``SAMPLE``
+   occurrences.  That only decides a shingle's rank in the order, never the result.
 3. A set orders its shingles rare-first and posts its prefix: two sets with a Jaccard index of at
    least t share a shingle of their prefixes of ``n - ceil(t * n) + 1``.  A set whose unique
    shingles fill its prefix has no partner and is done.
@@ -31,15 +33,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapescreen.llm.batches import bound_batches, code_points, slices
-from shapescreen.llm.components import components
+from shapescreen.llm import drops
+from shapescreen.llm.batches import bound_batches, code_points, free_names, slices
+from shapescreen.llm.components import components, salted_join
 from shapescreen.llm.pretokens import span_hashes
-from shapescreen.sources.store import stage
+from shapescreen.sources.store import discard, stage
 
 #: Shingle occurrences counted in one range, and the least number of ranges.
 RANGE_SIZE, RANGES = 2_000_000, 96
-#: Shares below 1 / (HEAVY * ranges) of all occurrences count as heavy.
+#: Shares above 1 / (HEAVY * ranges) of all occurrences count as heavy.
 HEAVY = 4
+#: Slices tell shares above 1 / SHARES; smaller ones are told by a sample, by so many occurrences at least.
+SHARES, SAMPLE, TOLD = 3072, 50_000_000, 8
 #: Groups of copies with over this share of the documents are told to the second pass.
 COPIES = 0.001
 #: Parts of the suffix filter, a power of two.
@@ -102,9 +107,9 @@ def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (found ^ (found >> np.uint64(32))).view(np.int64)
 
 
-def measured(docs: DataFrame, words: int, share: int, key: str, text: str) -> DataFrame:
+def measured(docs: DataFrame, words: int, share: int | None, key: str, text: str) -> DataFrame:
     """``key, n, sid`` of every document, and (``heavy``) the frequent shingles of every slice with
-    their counts as ``sid, n``: those with over 1 / share of the slice's occurrences."""
+    their counts as ``sid, n``: those with over 1 / share of the slice's occurrences, or all."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +121,7 @@ def measured(docs: DataFrame, words: int, share: int, key: str, text: str) -> Da
             once[first] = True
             own = hashes[np.repeat(once, sizes)]
             names, counts = np.unique(own, return_counts=True)
-            heavy = counts > max(1, len(own) // share)
+            heavy = counts > (max(1, len(own) // share) if share else 0)
             keys = pa.concat_arrays([batch.column(0), pa.nulls(int(heavy.sum()), batch.column(0).type)])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -185,7 +190,9 @@ def packed_shingles(docs: DataFrame, words: int, ranges: int, heavy, copies, key
                 kept[i] = batch.column(0)[i].as_py() == stays[int(sids[i])]
             hashes = hashes[np.repeat(kept, sizes)]
             sids, sizes = sids[kept], sizes[kept]
-            frequent = np.isin(hashes, common)
+            frequent = np.zeros(len(hashes), bool)
+            if len(common):
+                frequent = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
             run_of = np.repeat(np.arange(len(sids)), sizes)
             many = np.bincount(run_of[frequent], minlength=len(sids))
             found = []
@@ -279,6 +286,22 @@ def near(percent: int, x: str, y: str):
     )
 
 
+def heavy_shingles(docs, table, occurrences: int, ranges: int, words: int, key: str, text: str) -> np.ndarray:
+    """Sorted hashes of the shingles with over 1 / (HEAVY * ranges) of all occurrences, and some near it.
+
+    At most 2 * SHARES of them from the slices, and 2 * HEAVY * ranges or SAMPLE / TOLD from the sample.
+    """
+    told = lambda counts, least: counts.groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("sid")
+    names = told(table.filter("heavy"), occurrences / min(HEAVY * ranges, SHARES) / 2)
+    if HEAVY * ranges > SHARES:
+        nth = max(1, occurrences // SAMPLE)
+        sample = docs.filter(F.pmod(F.xxhash64(text), F.lit(nth)) == 0)
+        least = max(TOLD, occurrences / nth / (HEAVY * ranges))
+        names = names.union(told(measured(sample, words, None, key, text).filter("heavy"), least)).distinct()
+    found = names.toArrow().column("sid").to_numpy()
+    return np.sort(found.astype(np.int64, copy=False).view(np.uint64))
+
+
 def ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -286,32 +309,28 @@ def ordered(x, y):
 def cluster(
     docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per input row: ``key, n_shingles, component_id``.
+    """One row per input row: ``key, n_shingles, component_id, sid, leads``.
 
     Documents link if ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct word
     shingles; ``component_id`` is the smallest key that links reach.  Words are what white space
     divides, with A-Z in lower case; fewer than ``words`` of them are one shingle.  Null, empty and
     blank texts have no shingles and stand alone under their own key.  Rows that repeat a key or a
-    text are linked like any other.  A null key is reached but never the smallest, unless a
+    text are linked like any other.  ``sid`` is a hash of the set (null: empty), and ``leads`` marks the
+    set that has the component's smallest key.  A null key is reached but never the smallest, unless a
     component has no other.  Sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    first_share = HEAVY * RANGES * 8
-    table = stage(measured(docs, words, first_share, key, text), "shingle-counts")
+    table = stage(measured(docs, words, SHARES, key, text), "shingle-counts")
     rows = table.filter(~F.col("heavy")).select(key, "n", "sid")
     sets = stage(
         rows.filter("n > 0").groupBy("sid", "n").agg(F.min(key).alias("first"), F.count("*").alias("copies")),
         "shingle-sets",
     )
-    occurrences, documents = sets.agg(F.sum("n"), F.sum("copies")).first()
-    ranges = max(RANGES, -(-(occurrences or 0) // RANGE_SIZE))
-    least = (occurrences or 0) / (HEAVY * ranges)
-    heavy = (
-        table.filter("heavy").groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") > least / 2).select("sid")
-    )  # at most 2 * HEAVY * ranges
-    common = np.sort(np.array([r[0] for r in heavy.collect()], np.int64).view(np.uint64))
-    hot = sets.filter(F.col("copies") > F.lit(max(1.0, COPIES * (documents or 0)))).select("sid", "first")
+    occurrences, documents = (x or 0 for x in sets.agg(F.sum("n"), F.sum("copies")).first())
+    ranges = max(RANGES, -(-occurrences // RANGE_SIZE))
+    common = heavy_shingles(docs, table, occurrences, ranges, words, key, text)
+    hot = sets.filter(F.col("copies") > F.lit(max(1.0, COPIES * documents))).select("sid", "first")
     copies = {r[0]: r[1] for r in hot.collect()}  # at most 1 / COPIES
 
     entries = (
@@ -373,12 +392,14 @@ def cluster(
     linked = stage(links(likely(tried, active, percent), active, percent), "star-links")
 
     labels = components(linked)
+    bare = posts
     posts = stage(
         posts.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
             "root", F.coalesce("root", "sid")
         ),
         "labelled-postings",
     )
+    discard(bare, centres)
     by_root = posts.groupBy("h", "band", "root").agg(F.count("*").alias("size"), F.max("own").alias("own"))
     open_lists = stage(
         by_root.groupBy("h", "band")
@@ -393,6 +414,7 @@ def cluster(
         "open-postings",
     )
     columns = ("sid", "n", "pos", "own", "root", "inner", "parts", "posted")
+    discard(posts, open_lists)
     x, y = (left.select("h", "band", *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "xy")
     rest = (
         x.filter(~F.col("x_inner"))
@@ -409,22 +431,67 @@ def cluster(
         .select(*ordered("x_sid", "y_sid"))
         .join(tried, ["a", "b"], "left_anti")
     )
-    others = links(stage(rest, "other-pairs"), active, percent)
-    labels = components(linked.unionByName(others))
+    others = stage(rest, "other-pairs")
+    discard(left, tried)
+    labels = components(linked.unionByName(links(others, active, percent)))
+    discard(active, others, linked)
 
     rooted = stage(sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left"), "rooted-sets")
-    smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("first").alias("low"))
+    rank = F.struct(F.col("first").isNull().alias("last"), F.col("first").alias("low"), F.col("sid").alias("lead"))
+    smallest = rooted.filter("root is not null").groupBy("root").agg(F.min(rank).alias("best"))
     named = stage(
-        rooted.join(smallest, "root", "left").select("sid", F.coalesce("low", "first").alias("component_id")),
+        salted_join(rooted, smallest, "root", "left").select(
+            "sid",
+            F.coalesce("best.low", "first").alias("component_id"),
+            F.coalesce(F.col("best.lead") == F.col("sid"), F.lit(True)).alias("leads"),
+        ),
         "set-components",
     )
-    found = rows.filter("n > 0").join(named, "sid").select(key, F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
+    columns = (key, F.col("n").alias("n_shingles"))
+    found = rows.filter("n > 0").join(named, "sid").select(*columns, "component_id", "sid", "leads")
+    alone = rows.filter("n = 0").select(
+        *columns, F.col(key).alias("component_id"), F.lit(None).cast("long").alias("sid"), F.lit(True).alias("leads")
+    )
     return found.unionByName(alone)
 
 
+def with_set_ids(docs: DataFrame, name: str, words: int, text: str) -> DataFrame:
+    """All columns and a hash of the shingle set, null where it is empty."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            hashes, offsets = shingle_sets([t or "" for t in texts], words)
+            ids = pa.array(set_ids(hashes, offsets), mask=np.diff(offsets) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("long")).schema)
+
+
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of which each component keeps the one with the smallest key; null keys stay."""
-    found = cluster(docs, words, percent, key, text)
-    gone = found.filter(F.col(key) != F.col("component_id")).select(F.col(key)).distinct()
-    return docs.join(gone, key, "left_anti")
+    """One row of each component, with all its columns: the one with the smallest key.
+
+    Rows are told apart by key and set: a row whose key stands on another component's copy as well
+    stays, and of rows that repeat both key and set one stays.  A null key is the largest.  Rows
+    without shingles all stay.  Texts are shuffled only of rows that share a key, or its bit, with
+    a dropped row.
+    """
+    own, other_key, other = free_names(docs, "sid", "other_key", "other_sid")
+    found = cluster(docs, words, percent, key, text).filter("sid is not null")
+    stays = F.col("leads") & F.col(key).eqNullSafe(F.col("component_id"))
+    lots = stage(
+        found.groupBy(F.col(key).alias(other_key), F.col("sid").alias(other))
+        .agg(F.max(stays).alias("stays"), F.count("*").alias("times"))
+        .filter(~F.col("stays") | (F.col("times") > 1)),
+        "near-copies",
+    )
+    clean, rest = drops.split(docs, key, lots, other_key)
+    # Both branches below read the few rows that may have to go.
+    rest = stage(with_set_ids(rest, own, words, text), "maybe-copies")
+    same = F.col(key).eqNullSafe(F.col(other_key)) & (F.col(own) == F.col(other))
+    left = rest.join(lots.select(other_key, other), same, "left_anti")
+    repeated = lots.filter("stays").select(other_key, other)
+    if not repeated.isEmpty():
+        left = left.unionByName(rest.join(repeated, same, "left_semi").dropDuplicates([key, own]))
+    return clean.unionByName(left.drop(own))

@@ -82,7 +82,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.cluster(table(spark, folder, "documents"))
+    return ngram_join.cluster(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:

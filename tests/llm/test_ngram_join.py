@@ -61,7 +61,7 @@ def corpus(seed, size=260):
 def test_components_equal_brute_force(spark):
     for seed in range(3):
         rows = corpus(seed)
-        got = [tuple(r) for r in ngram_join.cluster(documents(spark, rows)).collect()]
+        got = [tuple(r)[:3] for r in ngram_join.cluster(documents(spark, rows)).collect()]
         assert ordered(got) == ordered(brute(rows)), seed
 
 
@@ -70,20 +70,52 @@ def test_heavy_shingles_and_large_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "RANGES", 4)
     monkeypatch.setattr(ngram_join, "COPIES", 0.05)
     rows = corpus(9, 400)
-    got = [tuple(r) for r in ngram_join.cluster(documents(spark, rows)).collect()]
+    got = [tuple(r)[:3] for r in ngram_join.cluster(documents(spark, rows)).collect()]
     assert ordered(got) == ordered(brute(rows))
 
 
 def test_awkward_rows(awkward, clashing, nothing):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
-    assert ordered(tuple(r) for r in ngram_join.cluster(awkward).collect()) == ordered(brute(rows))
+    assert ordered(tuple(r)[:3] for r in ngram_join.cluster(awkward).collect()) == ordered(brute(rows))
     left = ngram_join.deduplicate(clashing)
-    assert set(left.columns) == set(clashing.columns)
-    want = {k for k, _, c in brute(rows) if k is None or k == c}
-    assert {r.doc_id for r in left.collect()} == want
+    assert left.columns == clashing.columns
+    # One of each component's rows, of those with its smallest key; rows without words all stay.
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    blank = [r for r in rows if not (r[1] or "").strip()]
+    assert [r for r in kept if not (r[1] or "").strip()] == blank or len(kept) > len(blank)
+    linked = {c for k, n, c in brute(rows) if n}
+    assert sorted(k for k, t in kept if (t or "").strip()) == sorted(linked)
+    assert ngram_join.deduplicate(nothing).count() == 0
     assert ngram_join.cluster(nothing).count() == 0
 
 
+def test_repeated_and_null_keys_lose_no_clean_row(spark):
+    a = " ".join(f"word{i}" for i in range(60))
+    near, other = a + " more", " ".join(f"else{i}" for i in range(60))
+    rows = [(1, a), (2, near), (2, other), (None, a + " again"), (3, "x y"), (3, "z u"), (None, "only null"), (5, "twice"), (5, "twice")]
+    left = ngram_join.deduplicate(documents(spark, rows)).collect()
+    want = [(1, a), (2, other), (3, "x y"), (3, "z u"), (None, "only null"), (5, "twice")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, want))
+
+
+def test_many_ranges_and_a_notice_in_a_tenth_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RANGE_SIZE", 40)
+    monkeypatch.setattr(ngram_join, "RANGES", 8)
+    monkeypatch.setattr(ngram_join, "SHARES", 16)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 4_000)
+    draw = random.Random(3)
+    rows = corpus(12, 300)
+    rows = [(k, t + (" see our terms of use here" if draw.random() < 0.1 else "")) for k, t in rows]
+    docs = documents(spark, rows)
+    taken = []
+    own = ngram_join.heavy_shingles
+    monkeypatch.setattr(ngram_join, "heavy_shingles", lambda *a: taken.append((a[3], own(*a))) or taken[-1][1])
+    got = [tuple(r)[:3] for r in ngram_join.cluster(docs).collect()]
+    assert ordered(got) == ordered(brute(rows))
+    (ranges, heavy), notice = taken[0], ngram_join.shingle_sets(["see our terms of use"])[0]
+    assert ranges > 96 and notice[0] in heavy
+
+
 def test_components_of_long_paths(spark):
     draw = random.Random(4)
     names = [draw.getrandbits(62) for _ in range(300)]
