@@ -325,8 +325,8 @@ def score_molecules(
     """Score each molecule with the models of its target, portion and fold.
 
     A molecule's score is the ``max``, ``min`` or ``mean`` of its conformers' scores.  Molecules are
-    packed into chunks of bounded size where they lie, in one scan, and joined with the models by
-    Spark, which broadcasts them where they are small.  Models of more than SHARD_BYTES are cut; the
+    packed into chunks of bounded size where they lie, in one scan, and joined with the models, which
+    are broadcast where all of them have at most WAVE_BYTES.  Models of more than SHARD_BYTES are cut; the
     parts of a chunk's scores meet by chunk.
     """
     if reduce not in REDUCTIONS:
@@ -346,8 +346,10 @@ def score_molecules(
             T.StructField("truth", T.BooleanType()),
         ]
     )
-    largest = trained.agg(F.max(F.length("payload"))).first()[0] if pieces else 0
-    if (largest or 0) <= SHARD_BYTES:
+    total, largest = (n or 0 for n in trained.agg(F.sum(F.length("payload")), F.max(F.length("payload"))).first())
+    if total <= WAVE_BYTES:
+        trained = F.broadcast(trained)
+    if not pieces or largest <= SHARD_BYTES:
         return chunks.join(trained, key).mapInArrow(_scorer(decode, row_scores, reduce), schema)
     parts = T.StructType(
         [
