@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many UTF-8 bytes; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Spark's defaults for "no bound on a batch's bytes".
 UNBOUNDED = ("-1", "2147483647", "9223372036854775807")
@@ -24,7 +24,7 @@ def remainder(key, modulus: int) -> Column:
 def bound_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch as well as its rows, unless the session does already."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, *UNBOUNDED):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * SLICE_BYTES))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

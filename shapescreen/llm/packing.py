@@ -32,6 +32,8 @@ from shapescreen.sources.store import stage
 
 #: Sequences under this share of the capacity are packed again with those of other cells.
 LOOSE = 0.95
+#: Slots, as a power of two, of the pieces a worker remembers; half of them are used, some 20 MB with the ids.
+VOCABULARY_BITS = 19
 
 
 def by_rank(definition: str) -> tiktoken.Encoding | None:
@@ -55,7 +57,7 @@ class ByteTokens:
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = by_rank(definition)
-        self.words = Vocabulary(self._make, self._forget)
+        self.words = Vocabulary(self._make, self._forget, VOCABULARY_BITS)
 
     def _forget(self) -> None:
         self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0

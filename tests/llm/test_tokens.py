@@ -132,3 +132,14 @@ def test_exchange_keeps_items_and_never_adds_bins(seed):
     assert sorted(i for b in fewer for i in b) == list(range(600))
     assert all(sum(lengths[i] for i in b) <= 2048 for b in fewer)
     assert len(fewer) < len(first)
+
+
+def test_a_packing_worker_remembers_a_bounded_number_of_pieces():
+    tokens = packing.ByteTokens(tokenizer_definition("byte_bpe_50k.json"))
+    texts = [" ".join(f"{a}x{b}" for b in range(1000)) for a in "abcdefghijklmnopqrstuvwxyz" for _ in range(1)]
+    texts += [t.upper() + " ." for t in texts] + [t.replace("x", "yz") for t in texts] + [t.replace("x", "q") for t in texts]
+    for text in texts:
+        ids, offsets = tokens.ids([text])
+        assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    held = [tokens.words.keys, tokens.words.numbers, tokens.flat, tokens.offsets]
+    assert sum(a.nbytes for a in held) < 16 << 20
