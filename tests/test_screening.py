@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shapescreen.functions import similarity
 from shapescreen.functions.packed import Packed
+from shapescreen.operators import screening
 from shapescreen.operators.screening import screen
 
 
@@ -118,3 +119,19 @@ def test_pruned_best_candidates_equal_those_of_the_whole_matrix(spark, max_broad
     names = ["target", "template_id", "position", "mol_id", "score", "truth"]
     assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
     assert pairs.value >= whole.count() and skipped.value > 0.3 * pairs.value
+
+
+def test_every_data_set_is_cut_into_chunks_on_its_own(spark, monkeypatch):
+    monkeypatch.setattr(screening, "_TEMPLATES_PER_CHUNK", 10)
+    monkeypatch.setattr(screening, "_CANDIDATES_PER_CHUNK", 10)
+    rows = F.array(F.array(F.col("id").cast("double"), F.lit(0.5)))
+    made = spark.range(160).select((F.col("id") % 8).alias("target"), F.col("id").alias("mol_id"), rows.alias("rows"))
+    left = made.withColumnRenamed("mol_id", "template_id")
+    right = made.withColumn("truth", F.lit(True))
+    # 20 molecules a target are two chunks, whatever the other targets hold.
+    met = screening._chunked(left, right, ["target"]).select(F.size("templates") * F.size("candidates")).collect()
+    assert len(met) <= 8 * 2 * 2
+    assert sum(r[0] for r in met) == 8 * 20 * 20
+    # Large molecules make more chunks of bounded bytes.
+    monkeypatch.setattr(screening, "_CHUNK_BYTES", 5 * 16)
+    assert screening._chunks_of_largest(made, ["target"], 10) == 4
