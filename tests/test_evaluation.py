@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from shapescreen.functions import bands
 from shapescreen.operators import evaluation, ranking
@@ -157,3 +158,13 @@ def test_measures_do_not_depend_on_the_bands(spark, monkeypatch):
     assert evaluation.evaluate(rows, ["target"], "template_id").collect()[0] == pytest.approx(tuple(want[0]), nan_ok=True)
     assert want[0]["auc"] == pytest.approx(brute_auc(score, truth), abs=1e-12)
     assert sorted(map(str, evaluation.roc_points(rows, ["target"]).collect())) == points
+
+
+def test_tasks_of_a_histogram_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(bands, "BAND_ROWS", 50)
+    scores = spark.range(4000).select((F.col("id") % 2).alias("g"), (F.col("id") / 7).alias("score"), (F.col("id") % 3 == 0).alias("truth"))
+    hist = ranking.score_histogram(scores, ["g"])
+    assert hist.rdd.getNumPartitions() == 80
+    dealt = hist.select("g", "band", F.spark_partition_id().alias("task"))
+    assert dealt.groupBy("task").count().agg(F.max("count")).first()[0] < 4000 / 8
+    assert dealt.groupBy("g", "band").agg(F.count_distinct("task").alias("n")).filter("n > 1").count() == 0
