@@ -135,3 +135,44 @@ def test_every_data_set_is_cut_into_chunks_on_its_own(spark, monkeypatch):
     # Large molecules make more chunks of bounded bytes.
     monkeypatch.setattr(screening, "_CHUNK_BYTES", 5 * 16)
     assert screening._chunks_of_largest(made, ["target"], 10) == 4
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_tasks_follow_the_pairs_and_not_the_bytes(spark, monkeypatch, kind):
+    monkeypatch.setattr(screening, "_CANDIDATES_PER_CHUNK", 10)
+    monkeypatch.setattr(screening, "_SALT_PAIRS", 2_000, raising=False)
+    monkeypatch.setattr(screening, "_TASK_PAIRS", 1_000, raising=False)
+    rows = F.array(F.array(F.col("id").cast("double"), F.lit(0.5)))
+    made = spark.range(400).select((F.col("id") % 2).cast(kind).alias("target"), F.col("id").alias("mol_id"), rows.alias("rows"))
+    met = screening._chunked(made.withColumnRenamed("mol_id", "template_id"), made.withColumn("truth", F.lit(True)), ["target"])
+    pairs = F.size("templates") * F.size("candidates")
+    found = met.select(F.spark_partition_id().alias("task"), pairs.alias("pairs")).groupBy("task").agg(F.sum("pairs").alias("pairs")).collect()
+    assert sum(r["pairs"] for r in found) == 2 * 200 * 200
+    # 80 partitions for 40 salts; adaptive execution does not put these few bytes together.
+    assert len(found) >= 20 and max(r["pairs"] for r in found) <= 5 * 2_000
+
+
+def test_best_of_scattered_candidates_are_found_without_scoring_most_pairs():
+    import pyarrow as pa
+
+    from shapescreen.operators import nearest
+
+    rng = np.random.default_rng(9)
+
+    def made(n, first):
+        counts = rng.integers(1, 4, n)
+        return Packed(rng.normal(size=(counts.sum(), 18)), np.cumsum(counts) - counts, pa.array(range(first, first + n)))
+
+    templates, candidates = made(50, 0), made(4000, 100)
+    whole = np.round(similarity.best_shape_match(templates, candidates), 9)
+    counted = {"pairs": 0, "skipped": 0}
+    best = nearest.Best(10, 9)
+    best.count = lambda pairs, skipped: counted.update(pairs=counted["pairs"] + pairs, skipped=counted["skipped"] + skipped)
+    for lo in range(0, 4000, 1000):
+        best.see((0,), templates, candidates.piece(lo, lo + 1000), np.ones(1000, bool))
+    kinds = nearest._kinds(["k"], pa.schema([("k", pa.int64())]), pa.int64(), pa.int64())
+    rows = [r for batch in best.rows(["k"], kinds) for r in batch.to_pylist()]
+    for t in range(50):
+        want = sorted(zip(-whole[t], range(100, 4100)))[:10]
+        assert [(-r["score"], r["mol_id"]) for r in rows if r["template_id"] == t] == want
+    assert counted["pairs"] == 50 * 4000 and counted["skipped"] > 0.9 * counted["pairs"]
