@@ -247,3 +247,15 @@ def test_toxicity_of_awkward_rows(spark, awkward, clashing, nothing):
     raw = toxicity.features(["", None, "YOU idiot!", "1d10t you"], toxicity.fixed_lists())
     names = dict(zip(toxicity.FEATURES, raw.T))
     assert names["insults"].tolist() == [0, 0, 1, 0] and names["near"].tolist() == [0, 0, 1, 0]
+
+
+def test_scanner_learns_from_every_document(spark, monkeypatch):
+    token = "".join(np.random.default_rng(3).choice(list("abcdefghij0123456789"), 20))
+    rows = [(i, f"see {i:016d}x{token} here, " * 9 + f"token={i}{token}") for i in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = secrets.windows(docs).toPandas()
+    # More documents than a bounded sample would hold; the tenth finding of each is the labelled one.
+    assert found.label.sum() >= 2600 and (found.label == 0).sum() >= 2600
+    scanner = secrets.train(docs.filter("doc_id < 300"), made=400, shard=150)
+    again = secrets.train(docs.filter("doc_id < 300").repartition(7), made=400, shard=150)
+    assert scanner.threshold == again.threshold and scanner.slope == again.slope
