@@ -269,6 +269,8 @@ def train(
     learn = found.filter("part > 0")
     shards = max(1, -(-learn.count() // shard))
     dealt = learn.withColumn("shard", F.pmod(F.xxhash64("window", F.lit(shards)), F.lit(shards)))
+    # As many tasks as shards: their bytes are few, but not their work.
+    dealt = dealt.repartition(shards, "shard")
     extra, truth = made_windows(made)
     held = np.random.default_rng(11).random(len(extra)) < 0.2
     network = Network()
