@@ -97,3 +97,29 @@ def test_pooled_figures_store_and_shuffle_no_row_per_score(tied, monkeypatch):
     assert found.figures().count() == 2 and found.auc().count() == 2
     # As many rows as tasks, parts and bands, not as scores.
     assert found._measured(found._pool()).count() <= sum(s.many for s in found.slots) * 20
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_screened_pairs_of_stored_chunks_are_those_of_the_other_layouts(spark, tied, monkeypatch, kind):  # noqa: F811
+    molecules = tied.withColumn("target", F.col("target").cast(kind))
+    want = normal(screening.screen(molecules))
+    assert normal(screening.screen(molecules, max_broadcast=0)) == want
+    monkeypatch.setattr(screening, "COPIED_BYTES", 0)
+    monkeypatch.setattr(screening, "_SALT_PAIRS", 500)
+    monkeypatch.setattr(screening, "_CANDIDATES_PER_CHUNK", 16)
+    monkeypatch.setattr(screening, "KEPT_BYTES", 300)
+    for pairs in (2_000, 100):
+        # The larger data set alone, and both.
+        monkeypatch.setattr(screening, "_TASK_PAIRS", pairs)
+        assert normal(screening.screen(molecules, max_broadcast=0)) == want
+
+
+def test_templates_are_not_copied_for_the_salts(spark, tied, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(screening, "_TASK_PAIRS", 100)
+    monkeypatch.setattr(screening, "_SALT_PAIRS", 500)
+    monkeypatch.setattr(screening, "_CANDIDATES_PER_CHUNK", 16)
+    plan = lambda: screening.screen(tied, max_broadcast=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan() and "generate explode" in plan().lower()
+    monkeypatch.setattr(screening, "COPIED_BYTES", 0)
+    found = plan()
+    assert "explode" not in found and "collect_list" not in found and "Join Cross" in found
